@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import media, packing, quality
+from . import html, media, packing, quality
 from .common import table, tokenizer_path
 
 
@@ -22,5 +22,9 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "fail_bits")
 
 
-QUERIES = {f.__name__: f for f in (op1_media_columns, op7_packing, op9_quality_rules)}
+def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(table(spark, sf_dir, "pages"))
+
+
+QUERIES = {f.__name__: f for f in (op1_media_columns, op7_packing, op9_quality_rules, op10_html_extraction)}
 ORACLES: dict[str, str] = {}
