@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html, media, packing, quality
+from . import html, media, packing, quality, substring
 from .common import table, tokenizer_path
 
 
@@ -17,6 +17,10 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
 
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.removal(table(spark, sf_dir, "documents")).drop("kept_text")
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality.apply_policy(quality.ledger(table(spark, sf_dir, "documents")))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "fail_bits")
@@ -26,5 +30,19 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_media_columns, op7_packing, op9_quality_rules, op10_html_extraction)}
-ORACLES: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_media_columns, op7_packing, op8_substring_dedup, op9_quality_rules, op10_html_extraction)}
+_WORDS = r"list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
+
+ORACLES: dict[str, str] = {
+    "op8_substring_dedup": f"""
+        WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS} AS w FROM documents),
+        places AS (SELECT r, w, unnest(range(len(w) - 34)) AS p FROM d WHERE len(w) >= 35),
+        windows AS (SELECT r, p, array_to_string(w[p + 1 : p + 35], ' ') AS s FROM places),
+        again AS (SELECT r, p, count(*) OVER (PARTITION BY s) AS n FROM windows),
+        gone AS (SELECT r, list_distinct(flatten(list(range(p, p + 35)))) AS g FROM again WHERE n > 1 GROUP BY r),
+        each AS (SELECT r, unnest(range(len(w))) AS p, unnest(w) AS word FROM d),
+        lost AS (SELECT r, unnest(g) AS p FROM gone),
+        kept AS (SELECT e.r, string_agg(e.word, ' ' ORDER BY e.p) AS t, count(*) AS n FROM each e ANTI JOIN lost l ON e.r = l.r AND e.p = l.p GROUP BY e.r)
+        SELECT d.doc_id, len(d.w)::BIGINT AS n_words, (len(d.w) - coalesce(k.n, 0))::BIGINT AS n_removed, sha256(coalesce(k.t, '')) AS kept_sha256
+        FROM d LEFT JOIN kept k ON d.r = k.r""",
+}
