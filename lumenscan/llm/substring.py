@@ -33,6 +33,8 @@ SHARD_WORDS = 400_000
 HOT = 20_000
 #: Distinct segments that a task holds before it sends them on.
 HELD_SEGMENTS = 60_000
+#: Words of texts that are hashed at once.
+HELD_WORDS = 200_000
 
 _M = np.uint64(0x9E3779B97F4A7C15)
 _hash = xxhash.xxh3_64_intdigest
@@ -47,20 +49,23 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
-def segments(hashes: np.ndarray, owner: np.ndarray, window: int = WINDOW, run: int = RUN) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(first window, number of windows, minimizer) of the stretches of windows of one owner with one minimizer.
+def segments(hashes: np.ndarray, owner: np.ndarray, window: int = WINDOW, run: int = RUN) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(first window, number of windows, minimizer, is it there twice) of the stretches of windows of one owner with one minimizer.
 
-    hashes: of the words of many texts, one after another; owner: of each word, the text's number.
+    hashes: of the words of many texts, one after another; owner: of each word, the text's number.  A minimizer
+    that starts at two places of these texts can have equal windows within one stretch.
     """
     run = min(run, window)
     n = len(hashes) - window + 1
     none = np.zeros(0, np.int64)
     if n < 1:
-        return none, none, none
+        return none, none, none, none.astype(bool)
     rolled = hashes[: len(hashes) - run + 1].copy()
     for i in range(1, run):
         rolled = rolled * _M + hashes[i : len(hashes) - run + 1 + i]
     least, width, span = _mix(rolled), 1, window - run + 1
+    in_order = np.sort(least)
+    twice = in_order[1:][in_order[1:] == in_order[:-1]]
     while 2 * width <= span:
         least = np.minimum(least[: len(least) - width], least[width:])
         width *= 2
@@ -73,29 +78,37 @@ def segments(hashes: np.ndarray, owner: np.ndarray, window: int = WINDOW, run: i
     first = np.flatnonzero(change)
     count = np.diff(np.append(first, n))
     good = valid[first]
-    return first[good], count[good], least[first[good]].view(np.int64)
+    values = least[first[good]]
+    at = np.searchsorted(twice, values)
+    again = twice[np.minimum(at, len(twice) - 1)] == values if len(twice) else np.zeros(len(values), bool)
+    return first[good], count[good], values.view(np.int64), again
 
 
 def _minimizers(df: DataFrame, window: int) -> DataFrame:
-    """One row for each segment: _a and _b (the row), _start, _windows, _min."""
+    """One row for each segment: _a and _b (the row), _start, _windows, _min, _times."""
+
+    def some(a, b, split) -> pa.RecordBatch:
+        lengths = np.array([len(w) for w in split], np.int64)
+        owner = np.repeat(np.arange(len(split)), lengths)
+        first, count, least, again = segments(word_hashes([w for x in split for w in x]), owner, window)
+        of = owner[first] if len(first) else np.zeros(0, np.int64)
+        start = first - (np.cumsum(lengths) - lengths)[of]
+        take = pa.array(of)
+        return pa.RecordBatch.from_arrays([a.take(take), b.take(take), *[pa.array(x.astype(np.int32)) for x in (start, count)], pa.array(least), pa.array(1 + again.astype(np.int32))], ["_a", "_b", "_start", "_windows", "_min", "_times"])
 
     def run(batches):
         for batch in batches:
-            texts = batch.column(2).to_pylist()
-            split = [(t or "").encode("utf-8", "surrogatepass").split() for t in texts]
-            lengths = np.array([len(w) for w in split], np.int64)
-            hashes = word_hashes([w for x in split for w in x])
-            owner = np.repeat(np.arange(len(split)), lengths)
-            first, count, least = segments(hashes, owner, window)
-            of = owner[first] if len(first) else np.zeros(0, np.int64)
-            start = first - (np.cumsum(lengths) - lengths)[of]
-            take = pa.array(of)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(take), batch.column(1).take(take), pa.array(start.astype(np.int32)), pa.array(count.astype(np.int32)), pa.array(least)],
-                ["_a", "_b", "_start", "_windows", "_min"],
-            )
+            split, words, begun = [], 0, 0
+            for k, text in enumerate(batch.column(2).to_pylist()):
+                split.append((text or "").encode("utf-8", "surrogatepass").split())
+                words += len(split[-1])
+                if words > HELD_WORDS:
+                    yield some(batch.column(0)[begun : k + 1], batch.column(1)[begun : k + 1], split)
+                    split, words, begun = [], 0, k + 1
+            if split:
+                yield some(batch.column(0)[begun:], batch.column(1)[begun:], split)
 
-    return df.mapInArrow(run, "_a long, _b long, _start int, _windows int, _min long")
+    return df.mapInArrow(run, "_a long, _b long, _start int, _windows int, _min long, _times int")
 
 
 def _shipped(df: DataFrame, window: int) -> DataFrame:
@@ -207,9 +220,7 @@ def repeated_spans(df: DataFrame, key: str = "doc_id", text: str = "text", windo
     # a row is known by 128 bits of its id and text: never null, and equal for equal rows, whose results are equal
     docs = df.select(id_.alias("_id"), F.xxhash64(id_, value).alias("_a"), F.xxhash64(value, F.lit(1), id_).alias("_b"), value.alias("_text"))
     found = _minimizers(docs.select("_a", "_b", "_text"), window)
-    # one place of a minimizer serves as many windows as have room for it; a longer segment holds it several times
-    span = window - min(RUN, window) + 1
-    often = found.groupBy("_min").agg(F.sum(F.ceil(F.col("_windows") / span)).alias("_n")).where("_n > 1")
+    often = found.groupBy("_min").agg(F.sum("_times").alias("_n")).where("_n > 1")
     candidates = found.join(often, "_min").groupBy("_a", "_b").agg(F.collect_list(F.struct("_start", "_windows", "_min", "_n")).alias("_found"))
     # of two equal rows each finds the segments of both in _found: it ships them once, so their places count twice
     shipped = _shipped(docs.join(candidates.withColumn("_found", F.array_distinct("_found")), ["_a", "_b"]), window)
