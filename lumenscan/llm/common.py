@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,6 +40,20 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """Like ``cut``, as a compressed Parquet table in the same shared folder: for rows that hold texts."""
+    spark = df.sparkSession
+    place = f"{checkpoint_dir(spark).rstrip('/')}/lumenscan-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(place)
+    return spark.read.parquet(place)
+
+
+def release(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of finished steps now: it does so when its driver collects their garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def words(text) -> "F.Column":
     """Array of words of a text column; null has none."""
     inner = F.regexp_replace(F.coalesce(text, F.lit("")), r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+\z", "")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html, media, minhash, packing, quality, substring
+from . import html, lines, media, minhash, packing, quality, substring
 from .common import table, tokenizer_path
 
 
@@ -13,6 +13,11 @@ def op1_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.digest_texts(table(spark, sf_dir, "documents"))
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = lines.dedup(table(spark, sf_dir, "documents"))
+    return found.select(F.col("_row.doc_id").alias("doc_id"), "n_lines", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.classes(table(spark, sf_dir, "documents")).drop("_t")
 
@@ -34,7 +39,7 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_media_columns, op5_minhash_near_dedup, op7_packing, op8_substring_dedup, op9_quality_rules, op10_html_extraction)}
+QUERIES = {f.__name__: f for f in (op1_media_columns, op2_line_dedup, op5_minhash_near_dedup, op7_packing, op8_substring_dedup, op9_quality_rules, op10_html_extraction)}
 _WORDS = r"list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
 
 ORACLES: dict[str, str] = {
