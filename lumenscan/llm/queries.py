@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html, lines, media, minhash, packing, quality, substring
+from . import html, lattice, lines, media, minhash, packing, quality, substring
 from .common import table, tokenizer_path
 
 
@@ -22,6 +22,10 @@ def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.classes(table(spark, sf_dir, "documents")).drop("_t")
 
 
+def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice.score(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
@@ -39,7 +43,7 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_media_columns, op2_line_dedup, op5_minhash_near_dedup, op7_packing, op8_substring_dedup, op9_quality_rules, op10_html_extraction)}
+QUERIES = {f.__name__: f for f in (op1_media_columns, op2_line_dedup, op5_minhash_near_dedup, op6_lm_scoring, op7_packing, op8_substring_dedup, op9_quality_rules, op10_html_extraction)}
 _WORDS = r"list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
 
 ORACLES: dict[str, str] = {
