@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html, lattice, lines, media, minhash, packing, quality, substring
+from . import html, lattice, lines, media, minhash, mixing, order, packing, quality, substring
 from .common import table, tokenizer_path
 
 
@@ -18,6 +18,14 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("_row.doc_id").alias("doc_id"), "n_lines", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"), entropy_share=0.98, most_repeats=4.0)
+
+
+def op4_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return order.index(order.materialise(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json")))
+
+
 def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.classes(table(spark, sf_dir, "documents")).drop("_t")
 
@@ -43,7 +51,7 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_media_columns, op2_line_dedup, op5_minhash_near_dedup, op6_lm_scoring, op7_packing, op8_substring_dedup, op9_quality_rules, op10_html_extraction)}
+QUERIES = {f.__name__: f for f in (op1_media_columns, op2_line_dedup, op3_source_mixing, op4_training_order, op5_minhash_near_dedup, op6_lm_scoring, op7_packing, op8_substring_dedup, op9_quality_rules, op10_html_extraction)}
 _WORDS = r"list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
 
 ORACLES: dict[str, str] = {
