@@ -60,6 +60,15 @@ def words(text) -> "F.Column":
     return F.when(inner == "", F.array().cast("array<string>")).otherwise(F.split(inner, SPACES))
 
 
+def kept_rows(df: DataFrame, condition) -> DataFrame:
+    """``df.where(condition)`` with the condition kept above the projection that computes its columns.
+
+    Pushed below, it would repeat their expressions, once for each use, inside lambdas too.  Nothing is pushed
+    through a projection that holds a non-deterministic column.
+    """
+    return df.withColumn("_partition", F.spark_partition_id()).where(condition & (F.col("_partition") >= 0))
+
+
 def only(df: DataFrame, *names: str) -> DataFrame:
     """The columns an operator needs, so that extra columns with any names cannot clash with its own."""
     return df.select(*[F.col(f"`{n}`") for n in names])

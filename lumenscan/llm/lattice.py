@@ -37,6 +37,8 @@ FOLDS, HELD_OUT = 10, 0
 HEAD = 200_000
 ROUNDS = 2
 LONGEST_PIECE = 24
+#: Bytes below which a product of piece probabilities stays far from the least float.
+SHORT_WORD = 24
 HELD_WORDS = 300_000
 _LN10 = math.log(10)
 
@@ -75,6 +77,7 @@ class Lattice:
             for k in range(1, len(piece)):
                 self.edges.setdefault(piece[:k], None)  # only the start of longer pieces
             self.edges[piece] = lp
+        self.plain = {piece: math.exp(lp) for piece, lp in log_p.items()}
 
     def forward(self, word: bytes) -> list[float]:
         """Log probability of each prefix of the marked word, over all its segmentations."""
@@ -107,26 +110,44 @@ class Lattice:
         return self.forward(word)[-1]
 
     def expect(self, word: bytes, weight: float, into: dict[bytes, float]) -> None:
-        """Adds the expected number of each piece in ``weight`` occurrences of the word."""
-        text, edges, alpha = b" " + word, self.edges, self.forward(word)
+        """Adds the expected number of each piece in ``weight`` occurrences of the word.
+
+        Short words are summed as probabilities, which cannot underflow there, and long ones as logarithms.
+        """
+        text, edges, plain = b" " + word, self.edges, len(word) < SHORT_WORD
         n = len(text)
-        beta = [-math.inf] * n + [0.0]
-        for i in range(n - 1, -1, -1):
-            if alpha[i] == -math.inf:
+        alpha: list[float] = [1.0] + [0.0] * n if plain else self.forward(word)
+        used: list[tuple[int, int, bytes, float]] = []
+        for i in range(n):
+            a = alpha[i]
+            if plain and not a or a == -math.inf:
                 continue
-            found = []
             for j in range(i + 1, min(n, i + LONGEST_PIECE) + 1):
                 piece = text[i:j]
                 if piece not in edges:
                     break
                 lp = edges[piece]
-                if lp is not None and beta[j] > -math.inf:
-                    x = lp + beta[j]
-                    found.append(x)
-                    into[piece] = into.get(piece, 0.0) + weight * math.exp(alpha[i] + x - alpha[n])
-            if found:
-                top = max(found)
-                beta[i] = top + math.log(sum([math.exp(x - top) for x in found]))
+                if lp is None:
+                    continue
+                if plain:
+                    lp = self.plain[piece]
+                    alpha[j] += a * lp
+                used.append((i, j, piece, lp))
+        if plain:
+            beta = [0.0] * n + [weight / alpha[n]]
+            for i, j, piece, p in reversed(used):  # all edges from j on come before those that end there
+                x = p * beta[j]
+                beta[i] += x
+                into[piece] = into.get(piece, 0.0) + alpha[i] * x
+            return
+        log_beta = [-math.inf] * n + [0.0]
+        for i, j, piece, lp in reversed(used):
+            x = lp + log_beta[j]
+            if x > -math.inf:
+                b = log_beta[i]
+                top = max(b, x)
+                log_beta[i] = top + math.log(math.exp(b - top) + math.exp(x - top))
+                into[piece] = into.get(piece, 0.0) + weight * math.exp(alpha[i] + x - alpha[n])
 
 
 def count_words(df: DataFrame, key: str, text: str) -> DataFrame:

@@ -16,7 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE_CHARS, words
+from .common import SPACE_CHARS, kept_rows, words
 
 SYMBOLS = "#*$%&|<>"
 
@@ -152,4 +152,4 @@ def ablations(ledgers: DataFrame, policy: str = POLICY) -> DataFrame:
 def filter_documents(df: DataFrame, key: str = "doc_id", text: str = "text", policy: str = POLICY) -> DataFrame:
     """The rows of df that the policy keeps, with df's own columns."""
     judged = apply_policy(ledger(df, key, text, keep=tuple(df.columns)), policy)
-    return judged.where("kept").select(*[F.col(f"_keep_{i}").alias(c) for i, c in enumerate(df.columns)])
+    return kept_rows(judged, F.col("kept")).select(*[F.col(f"_keep_{i}").alias(c) for i, c in enumerate(df.columns)])

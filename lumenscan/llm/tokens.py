@@ -12,7 +12,7 @@ from collections.abc import Iterable
 import numpy as np
 
 #: Words kept by a Python worker; beyond it the cache starts afresh, so its memory does not grow with the corpus.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 800_000
 _PUNCTUATION = b".,!?*$%&#|;:"
 _CHUNK = 128
 
