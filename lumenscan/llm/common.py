@@ -50,8 +50,9 @@ def stored(df: DataFrame) -> DataFrame:
 
 def release(spark: SparkSession) -> None:
     """Lets Spark delete the shuffle files of finished steps now: it does so when its driver collects their garbage."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):  # what Python lets go of first is garbage of the JVM only then
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
 
 
 def words(text) -> "F.Column":
