@@ -15,6 +15,8 @@ from ..functions import semantics as S
 FORMATS = {".csv": "csv", ".txt": "csv", ".tsv": "tsv", ".parquet": "parquet", ".pq": "parquet", ".json": "json", ".jsonl": "ndjson", ".ndjson": "ndjson", ".xlsx": "excel", ".xls": "excel", ".xlsm": "excel"}
 ENCODINGS = ("utf-8", "utf-8-sig", "cp1252", "latin-1")
 COERCE_SHARE = 0.95
+_CP1252 = bytes(range(0x80, 0xA0)).decode("cp1252", "replace")
+_C1 = "".join(map(chr, range(0x80, 0xA0)))
 
 
 class SourceError(ValueError):
@@ -78,8 +80,10 @@ def load(spark: SparkSession, path: str, *, roots: Sequence[str] = (), limit: in
     if kind in ("csv", "tsv"):
         report.encoding = options.get("encoding") or detect_encoding(real)
         report.delimiter = options.get("delimiter") or ("\t" if kind == "tsv" else detect_delimiter(real, report.encoding))
-        encoding = {"utf-8-sig": "utf-8", "cp1252": "windows-1252", "latin-1": "iso-8859-1"}.get(report.encoding, report.encoding)
+        encoding = {"utf-8-sig": "utf-8", "cp1252": "iso-8859-1", "latin-1": "iso-8859-1"}.get(report.encoding, report.encoding)
         df = spark.read.csv(str(real), header=True, sep=report.delimiter, encoding=encoding, quote='"', escape='"', multiLine=True, inferSchema=False)
+        if report.encoding == "cp1252":  # read as its neighbour, which differs in these characters only
+            df = df.select(*[F.translate(F.col(f"`{c}`"), _C1, _CP1252).alias(c.translate(str.maketrans(_C1, _CP1252))) for c in df.columns])
         df = df.select(*[F.when(~F.col(f"`{c}`").isin(*S.NA_VALUES), F.col(f"`{c}`")).alias(c) for c in df.columns])
     elif kind == "parquet":
         df = spark.read.parquet(str(real))
