@@ -66,4 +66,15 @@ ORACLES: dict[str, str] = {
         kept AS (SELECT e.r, string_agg(e.word, ' ' ORDER BY e.p) AS t, count(*) AS n FROM each e ANTI JOIN lost l ON e.r = l.r AND e.p = l.p GROUP BY e.r)
         SELECT d.doc_id, len(d.w)::BIGINT AS n_words, (len(d.w) - coalesce(k.n, 0))::BIGINT AS n_removed, sha256(coalesce(k.t, '')) AS kept_sha256
         FROM d LEFT JOIN kept k ON d.r = k.r""",
+    "op9_quality_rules": f"""
+        WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t, {_WORDS} AS w, list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS l FROM documents),
+        places AS (SELECT r, w, unnest(range(len(w) - 2)) AS p FROM d WHERE len(w) >= 3),
+        windows AS (SELECT r, p, count(*) OVER (PARTITION BY r, w[p + 1], w[p + 2], w[p + 3]) AS n FROM places),
+        covered AS (SELECT r, len(list_distinct(flatten(list([p, p + 1, p + 2])))) AS k FROM windows WHERE n > 1 GROUP BY r),
+        m AS (SELECT doc_id, len(w)::BIGINT AS n_words, length(regexp_replace(t, '[\\x20\\x09-\\x0D]', '', 'g'))::BIGINT AS word_chars, len(regexp_extract_all(t, '[#*$%&|<>]'))::BIGINT AS n_symbols,
+            len(l)::BIGINT AS n_lines, (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines, length(regexp_replace(t, '\\PL', '', 'g')) AS n_letters, length(regexp_replace(t, '[^\\p{{Lu}}]', '', 'g')) AS n_capitals,
+            len(regexp_extract_all(t, '!')) AS n_exclamations, coalesce(k, 0)::BIGINT AS n_repeat_words FROM d LEFT JOIN covered ON d.r = covered.r),
+        j AS (SELECT *, (n_words < 50)::BIGINT + 2 * (100 * n_repeat_words > 50 * n_words)::BIGINT + 4 * (10 * n_symbols > n_words)::BIGINT + 8 * (10 * n_dup_lines > 3 * n_lines)::BIGINT
+            + 16 * (NOT word_chars BETWEEN 2 * n_words AND 14 * n_words)::BIGINT + 32 * (100 * n_letters < 60 * word_chars)::BIGINT + 64 * (2 * n_capitals > n_letters)::BIGINT + 128 * (10 * n_exclamations > 3 * n_words)::BIGINT AS fail_bits FROM m)
+        SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (fail_bits & 3) <> 0 AS base_failed, fail_bits = 0 AS kept, fail_bits FROM j""",
 }
