@@ -151,3 +151,23 @@ def test_fuzzy_lines_against_brute_force(spark):
     expected = {i: find(i) for i in range(len(texts))}
     found = {r["node"]: r["component"] for r in lines.fuzzy_groups(lambda: df).collect()}
     assert {i: found.get(i, i) for i in expected} == expected and len(set(expected.values())) < len(texts)
+
+
+def test_lines_with_few_words_changed_are_linked(spark):
+    r = random.Random(8)
+    texts, pairs = [], []
+    for n in (4, 8, 12, 20, 30, 50):
+        for k in range(30):
+            a = prose(1000 * n + k, n).split()
+            b = list(a)
+            for i in r.sample(range(n), max(1, n // 20)):
+                b[i] = prose(r.randint(0, 10**9), 1)
+            pairs.append((len(texts), len(texts) + 1))
+            texts += [" ".join(a), " ".join(b)]
+    df = spark.createDataFrame(list(enumerate(texts)), "_t long, _line string")
+    both = spark.createDataFrame([(a, b, texts[a], texts[b]) for a, b in pairs], "a long, b long, x string, y string")
+    similar = [(p["a"], p["b"]) for p in both.selectExpr("a", "b", "levenshtein(x, y) / greatest(length(x), length(y)) as d").where("d > 0 and d <= 0.2").collect()]
+    found = {p["node"]: p["component"] for p in lines.fuzzy_groups(lambda: df).collect()}
+    linked = sum(a in found and found[a] == found.get(b) for a, b in similar)
+    assert len(similar) > 130 and linked >= 0.97 * len(similar)
+    assert all(len({i // 2 for i in found if found[i] == c}) == 1 for c in set(found.values()))
