@@ -171,3 +171,11 @@ def test_lines_with_few_words_changed_are_linked(spark):
     linked = sum(a in found and found[a] == found.get(b) for a, b in similar)
     assert len(similar) > 130 and linked >= 0.97 * len(similar)
     assert all(len({i // 2 for i in found if found[i] == c}) == 1 for c in set(found.values()))
+
+
+def test_lines_of_digits(spark):
+    rows = [
+        row(1, "2024-01-02\nTotal: 1234 EUR\n---\n+49 30 1234567"), row(2, " 2024-01-02 \n2024-01-03\nTotal: 9876 EUR\n---\n-49 30 1234567"), row(3, "total 1234 eur\n+49 30 1234567"),
+    ]
+    found = {r["_row"]["doc_id"]: r["kept_text"] for r in lines.dedup(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert found == {1: rows[0][1], 2: "2024-01-03\nTotal: 9876 EUR\n---\n-49 30 1234567", 3: ""}
