@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-import gc
+import itertools
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,38 +23,81 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; a local one of our own only where none is set, as in tests."""
+    """The cluster's shared folder; a local one of our own only where none is set and all runs on this machine, as in tests."""
     sc = spark.sparkContext
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if folder:
         return folder
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="lumenscan-"))
+    if not sc.master.startswith("local[") and sc.master != "local":
+        raise RuntimeError("spark.checkpoint.dir is not set: executors need a folder that all of them share")
+    sc.setCheckpointDir(tempfile.mkdtemp(prefix="lumenscan-"))
     return sc.getCheckpointDir()
 
 
+@contextmanager
+def freeing_shuffles(spark: SparkSession) -> Iterator[None]:
+    """What runs inside lets Spark delete its shuffle files as soon as its result is written; nothing reads them later."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, "false")
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Materialise and cut the lineage in the shared checkpoint folder, so that a lost executor costs a reread."""
     spark = df.sparkSession
     folder = checkpoint_dir(spark)
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
+    with freeing_shuffles(spark):
+        return df.checkpoint(eager=True)
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """Like ``cut``, as a compressed Parquet table in the same shared folder: for rows that hold texts."""
-    spark = df.sparkSession
-    place = f"{checkpoint_dir(spark).rstrip('/')}/lumenscan-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(place)
-    return spark.read.parquet(place)
+class Workspace:
+    """Written tables of one run in the shared folder, in a database that is dropped at the end with all that it holds.
+
+    What leaves the run has to be ``cut`` first.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+        self.name = f"lumenscan_{uuid.uuid4().hex}"
+        self._numbers = itertools.count()
+
+    def __enter__(self) -> Workspace:
+        place = f"{checkpoint_dir(self.spark).rstrip('/')}/{self.name}"
+        self.spark.sql(f"CREATE DATABASE {self.name} LOCATION '{place}'")
+        return self
 
+    def __exit__(self, *_: object) -> None:
+        self.spark.sql(f"DROP DATABASE IF EXISTS {self.name} CASCADE")
 
-def release(spark: SparkSession) -> None:
-    """Lets Spark delete the shuffle files of finished steps now: it does so when its driver collects their garbage."""
-    for _ in range(2):  # what Python lets go of first is garbage of the JVM only then
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
+    def table(self, df: DataFrame, key: str | None = None) -> DataFrame:
+        """df, written and read again; dealt out by ``key``, joins on it leave these rows where they are."""
+        name = f"{self.name}.t{next(self._numbers)}"
+        writer = df.write.format("parquet").option("compression", "zstd")
+        if key:
+            writer = writer.bucketBy(int(self.spark.conf.get("spark.sql.shuffle.partitions")), key)
+        with freeing_shuffles(self.spark):
+            writer.saveAsTable(name)
+        return self.spark.table(name)
+
+
+def different(rows: DataFrame, value: str, work: Workspace) -> tuple[DataFrame, DataFrame]:
+    """rows with a key _t, 64 bits, and each different value once: _t, the value and _k, its rows, dealt out by _t.
+
+    Values that share their 64 bits by chance are told apart by 64 more, and get other keys.
+    """
+    rows = rows.withColumn("_t", F.xxhash64(value)).withColumn("_u", F.xxhash64(F.lit(1), value))
+    for again in itertools.count(1):
+        once = work.table(rows.groupBy("_t").agg(F.first(value).alias(value), F.count(F.lit(1)).alias("_k"), F.min("_u").alias("_low"), F.max("_u").alias("_high")), "_t")
+        shared = once.where("_low <> _high").select("_t", F.lit(True).alias("_shared"))
+        if shared.isEmpty():
+            return rows, once.drop("_low", "_high")
+        rows = rows.join(work.table(shared), "_t", "left").withColumn("_t", F.when(F.col("_shared"), F.xxhash64("_u", F.lit(again), "_t")).otherwise(F.col("_t"))).drop("_shared")
 
 
 def words(text) -> "F.Column":
@@ -70,11 +115,6 @@ def kept_rows(df: DataFrame, condition) -> DataFrame:
     return df.withColumn("_partition", F.spark_partition_id()).where(condition & (F.col("_partition") >= 0))
 
 
-def only(df: DataFrame, *names: str) -> DataFrame:
-    """The columns an operator needs, so that extra columns with any names cannot clash with its own."""
-    return df.select(*[F.col(f"`{n}`") for n in names])
-
-
 def tokenizer_path(name: str) -> str:
     """Place of a public tokenizer's file on this machine."""
     import public_tokenizers

@@ -27,7 +27,7 @@ def op4_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return minhash.classes(table(spark, sf_dir, "documents")).drop("_t")
+    return minhash.classes(table(spark, sf_dir, "documents")).drop("_t", "_u")
 
 
 def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
