@@ -13,10 +13,11 @@ NUMERIC_TYPES = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType
 INTEGRAL_TYPES = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
 TIME_TYPES = (T.TimestampType, T.TimestampNTZType, T.DateType)
 
-# Texts that stand for a missing value in files.
-NA_VALUES = ("", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null", "-", "--", "?", "missing")
-#: Texts that stand for a missing value once stripped and folded.
-PLACEHOLDERS = tuple(sorted({x.casefold() for x in NA_VALUES if x} | {"unknown", "none", "tbd", "undefined"}))
+# Texts that stand for a missing value, and those that readers of CSV files know besides.
+MARKERS = ("", " ", "NA", "N/A", "n/a", "na", "NULL", "null", "None", "none", "-", "--", "?", "unknown", "Unknown", "UNKNOWN", "missing", "MISSING", "nan", "NaN", "#N/A", "#NULL!", "<NA>")
+NA_VALUES = (*MARKERS, "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN")
+#: Those that stand for a missing value in other tables, once stripped and folded.
+PLACEHOLDERS = tuple(sorted({x.strip().casefold() for x in MARKERS} - {""}))
 
 NUMBER = r"^\s*[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?\s*$"
 #: Tried in order; month first where both readings are possible.

@@ -86,20 +86,24 @@ STRETCH = 65536
 
 
 def fill_in_order(df: DataFrame, column: str, order: str, how: str) -> DataFrame:
-    """ffill, bfill or linear interpolation by place along a numeric ordering column.
+    """ffill, bfill or linear interpolation by place along an ordering column of numbers, dates or times.
 
-    Rows are filled in stretches of the order; the last and first values of the stretches, one row each, carry
+    Rows are filled in stretches of the order, as wide as ``STRETCH`` rows take on average; the last and first values of the stretches, one row each, carry
     over from one to the next, so no task orders all rows.  Interpolation counts places, so rows are numbered
     within stretches first.
     """
     o, v = F.col(f"`{order}`"), _v(df, column)
-    data = df.withColumns({"_o": o, "_part": F.floor(o / STRETCH), "_v": v})
+    at = (o.cast("timestamp") if isinstance(df.schema[order].dataType, S.TIME_TYPES) else o).cast("double")
+    n, least, most = df.agg(F.count(at), F.min(at), F.max(at)).first()
+    width = ((most - least) * STRETCH / n if n else 0) or 1.0
+    data = df.withColumns({"_o": o, "_part": F.floor((at - F.lit(least or 0.0)) / F.lit(width)), "_v": v})
     w = Window.partitionBy("_part").orderBy("_o")
     numbered = data.withColumn("_row", F.row_number().over(w))
     point = F.when(F.col("_v").isNotNull(), F.struct(F.col("_row").alias("r"), F.col("_v").alias("v")))
     placed = numbered.withColumns({
         "_prev": F.last(point, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)),
-        "_next": F.first(point, ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing)),
+        # the same from the other end: a frame that ends with the part would be gone through again for each row
+        "_next": F.last(point, ignorenulls=True).over(Window.partitionBy("_part").orderBy(F.desc("_row")).rowsBetween(Window.unboundedPreceding, 0)),
     })
     present = F.col("_v").isNotNull()
     ends = numbered.groupBy("_part").agg(F.count(F.lit(1)).alias("_size"), F.max_by(point, F.when(present, F.col("_row"))).alias("_last"), F.min_by(point, F.when(present, F.col("_row"))).alias("_first"))
@@ -109,14 +113,14 @@ def fill_in_order(df: DataFrame, column: str, order: str, how: str) -> DataFrame
     carried = base.withColumns({"_gl": glob("_last"), "_gf": glob("_first")}).select(
         F.col("_part").alias("_p"), "_base",
         F.last("_gl", ignorenulls=True).over(across.rowsBetween(Window.unboundedPreceding, -1)).alias("_before"),
-        F.first("_gf", ignorenulls=True).over(across.rowsBetween(1, Window.unboundedFollowing)).alias("_after"),
+        F.last("_gf", ignorenulls=True).over(Window.orderBy(F.desc("_part")).rowsBetween(Window.unboundedPreceding, -1)).alias("_after"),
     )
     joined = placed.join(carried, F.col("_part") == F.col("_p"))
     prev, nxt = F.coalesce(glob("_prev"), F.col("_before")), F.coalesce(glob("_next"), F.col("_after"))
-    at = F.col("_base") + F.col("_row")
+    place = F.col("_base") + F.col("_row")
     if how == "interpolate":
         slope = F.try_divide((nxt["v"] - prev["v"]).cast("double"), (nxt["r"] - prev["r"]).cast("double"))
-        value = F.coalesce(F.col("_v").cast("double"), F.when(prev.isNotNull() & nxt.isNotNull(), prev["v"] + slope * (at - prev["r"])).otherwise(F.coalesce(prev["v"], nxt["v"])).cast("double"))
+        value = F.coalesce(F.col("_v").cast("double"), F.when(prev.isNotNull() & nxt.isNotNull(), prev["v"] + slope * (place - prev["r"])).otherwise(F.coalesce(prev["v"], nxt["v"])).cast("double"))
     else:
         value = (prev if how == "ffill" else nxt)["v"]
     return joined.select(*[value.alias(c) if c == column else F.col(f"`{c}`") for c in df.columns])

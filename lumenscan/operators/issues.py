@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from datetime import UTC, datetime
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -110,9 +111,10 @@ def is_purity_leak(observed: float | None, chance: float | None, coverage: float
     return observed is not None and observed >= PURE and chance <= PURE_CHANCE and coverage >= PURE_COVERAGE
 
 
-def find_issues(df: DataFrame, now: str = "2030-01-01") -> list[Finding]:
-    """All findings of a frame, the worst first.  The number of jobs does not depend on the rows; each returns few."""
+def find_issues(df: DataFrame, now: str | None = None) -> list[Finding]:
+    """All findings of a frame, the worst first.  Dates after ``now``, the present if none is given, are in the future.  The number of jobs does not depend on the rows; each returns few."""
     found: list[Finding] = []
+    now = now or datetime.now(UTC).strftime("%Y-%m-%d %H:%M:%S")
     missing = {r["column"]: r for r in profile.missing_summary(df).collect()}
     kind = profile.column_kinds(df)
     n = _n_rows(df)

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import ast
 import difflib
+import itertools
 import re
 from dataclasses import dataclass
 from typing import Any
@@ -332,11 +333,14 @@ def evaluate(df: DataFrame, text: str, limit: int = 20) -> DataFrame:
         if found.by is None:
             return data.agg(found.value.alias(found.name))
         grouped = data.where(found.by.isNotNull()).groupBy(found.by.alias("key")).agg(found.value.alias(found.name))
-        return grouped.orderBy(F.desc_nulls_last(found.name), F.col("key").cast("string")).limit(limit)
+        # values without a size come last: missing, then those that are no finite number
+        finite = F.abs(F.col(found.name)) < float("inf") if dict(grouped.dtypes)[found.name] in ("double", "float") else F.col(found.name).isNotNull()
+        return grouped.orderBy(F.coalesce(finite, F.lit(False)).desc(), F.desc_nulls_last(found.name), F.col("key").cast("string")).limit(limit)
     if isinstance(found, Rows):
         data = df.where(found.where) if found.where is not None else df
         if found.sort is not None:
-            data = data.orderBy(found.sort.desc_nulls_last() if found.descending else found.sort.asc_nulls_last())
+            at = next(name for name in (f"_at{i}" for i in itertools.count()) if name not in df.columns)  # ties keep the order of the rows
+            data = data.withColumn(at, F.monotonically_increasing_id()).orderBy(found.sort.desc_nulls_last() if found.descending else found.sort.asc_nulls_last(), at)
         return data.select(*[F.col(f"`{c}`") for c in found.columns]).limit(limit)
     if found.scalar:
         return df.sparkSession.range(1).select(found.column.alias("value"))
