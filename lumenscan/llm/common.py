@@ -56,6 +56,14 @@ def cut(df: DataFrame) -> DataFrame:
         return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """Like ``cut``, as a compressed Parquet table in the same shared folder, for rows that hold texts; it stays for the result that reads it."""
+    place = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/lumenscan-{uuid.uuid4().hex}"
+    with freeing_shuffles(df.sparkSession):
+        df.write.option("compression", "zstd").parquet(place)
+    return df.sparkSession.read.parquet(place)
+
+
 class Workspace:
     """Written tables of one run in the shared folder, in a database that is dropped at the end with all that it holds.
 

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import stored
 
 FOLDS, HELD_OUT = 10, 0
 #: Words that are looked up in place; the rest is joined.
@@ -201,7 +201,7 @@ def train(words: DataFrame, pieces: list[bytes], rounds: int = ROUNDS) -> dict[b
 def score(df: DataFrame, path: str, key: str = "doc_id", text: str = "text", head: int = HEAD, rounds: int = ROUNDS) -> DataFrame:
     """key, held_out, n_tokens, n_known, train_tokens, base_score, score: one row for each row of df."""
     spark = df.sparkSession
-    words = cut(count_words(df, key, text))
+    words = stored(count_words(df, key, text))
     ids = F.coalesce(F.col(f"`{key}`").cast("string"), F.lit(""))
     is_held = F.crc32(ids.cast("binary")) % FOLDS == HELD_OUT
     n_docs = df.where(~is_held).count()
@@ -226,7 +226,7 @@ def score(df: DataFrame, path: str, key: str = "doc_id", text: str = "text", hea
                 found.append(lp / _LN10)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.float64())], ["word", "c", "lp"])
 
-    scored = cut(words.mapInArrow(model, "word binary, c long, lp double"))
+    scored = stored(words.mapInArrow(model, "word binary, c long, lp double"))
     frequent = {bytes(r["word"]): (r["c"], base_of(r["c"]), r["lp"]) for r in scored.where("c > 0").orderBy(F.desc("c"), "word").limit(head).collect()}
     known = spark.sparkContext.broadcast(frequent)
     end_base, end_lp = base_of(n_docs), math.log10(n_docs / n) if n_docs else 0.0

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import stored
 from .tokens import word_tokens
 
 LENGTH = 2048
@@ -192,7 +192,7 @@ def shards(slotted: DataFrame, per_shard: int = SHARD_SEQUENCES) -> DataFrame:
 
 def materialise(df: DataFrame, path: str, key: int = 1, id_column: str = "doc_id", text: str = "text", length: int = LENGTH, per_shard: int = SHARD_SEQUENCES) -> DataFrame:
     """The shards of a table of texts."""
-    found = cut(sequences(df, path, id_column, text, length))
+    found = stored(sequences(df, path, id_column, text, length))
     return shards(with_slots(found, key)[0], per_shard)
 
 
