@@ -19,6 +19,8 @@ from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_left
+from collections import Counter
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -137,6 +139,30 @@ def blocks(page: str) -> list[Block]:
     text: list[str] = []
     state = {"links": 0, "in_link": 0, "articles": 0}
     lower = None
+    # what is open is counted, so that end tags of nothing and implied ends cost no walk through the stack
+    block_places: list[int] = []
+    open_blocks: Counter[str] = Counter()
+    inline: list[Counter[str]] = [Counter()]  # since each open block began
+    absent: set[str] = set()
+
+    def close(i: int) -> None:
+        inside = 0  # of blocks that close too, whose counts go as a whole
+        for e in stack[i:]:
+            if e.tag in BLOCKS:
+                open_blocks[e.tag] -= 1
+                inside += 1
+            elif not inside:
+                inline[bisect_left(block_places, i)][e.tag] -= 1
+        if inside:
+            del block_places[-inside:], inline[-inside:]
+        del stack[i:]
+
+    def seek(what: str) -> int:
+        """The next place of what, which is not sought again once there is none."""
+        place = -1 if what in absent else lower.find(what, at)
+        if place < 0:
+            absent.add(what)
+        return place
 
     def add(raw: str) -> None:
         if raw:
@@ -171,18 +197,15 @@ def blocks(page: str) -> list[Block]:
                 state["in_link"] = 0
             if tag in BLOCKS:
                 end_block()
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag == tag:
-                    del stack[i:]
-                    break
-                if tag not in BLOCKS and stack[i].tag in BLOCKS:
-                    break  # an inline end tag closes nothing outside its block
+            # an inline end tag closes nothing outside its block
+            if (open_blocks if tag in BLOCKS else inline[-1])[tag]:
+                close(next(i for i in range(len(stack) - 1, 0, -1) if stack[i].tag == tag))
             continue
         if tag in SKIPPED and tag not in VOID:
             if raw.endswith("/"):
                 continue
             lower = lower if lower is not None else page.lower() if page.isascii() else _ascii_lower(page)
-            ends = [x for x in (lower.find(f"</{tag}", at), lower.find("<body", at) if tag == "head" else -1) if x >= 0]
+            ends = [x for x in (seek(f"</{tag}"), seek("<body") if tag == "head" else -1) if x >= 0]
             if ends:
                 at = min(ends)  # the end tag itself is read next, and closes nothing
             elif tag in RAW:
@@ -195,12 +218,8 @@ def blocks(page: str) -> list[Block]:
         if tag in BLOCKS:
             end_block()
             if tag == "p" or tag in ("li", "td", "th", "tr", "dd", "dt"):
-                for i in range(len(stack) - 1, 0, -1):
-                    if stack[i].tag == tag:
-                        del stack[i:]
-                        break
-                    if stack[i].tag in BLOCKS:
-                        break
+                if block_places and stack[block_places[-1]].tag == tag:
+                    close(block_places[-1])
         if tag in VOID:
             continue
         around, known = stack[-1], _attributes(raw)
@@ -213,6 +232,12 @@ def blocks(page: str) -> list[Block]:
             state["in_link"] = 1
         if not raw.endswith("/") or tag in BLOCKS:
             stack.append(Element(tag, bad, article))
+            if tag in BLOCKS:
+                block_places.append(len(stack) - 1)
+                open_blocks[tag] += 1
+                inline.append(Counter())
+            else:
+                inline[-1][tag] += 1
     add(page[at:])
     end_block()
     return found
