@@ -368,3 +368,15 @@ def condition(df: DataFrame, text: str) -> Column:
 def count_matching(df: DataFrame, text: str) -> DataFrame:
     """n_matching and n_rows of a condition."""
     return df.agg(F.count_if(condition(df, text)).alias("n_matching"), F.count(F.lit(1)).alias("n_rows"))
+
+
+def summary(df: DataFrame, text: str) -> DataFrame:
+    """One row of an expression over all rows: n and missing and, of numbers, mean, min, median and max."""
+    found = Compiler(df.schema).compile(text)
+    if not isinstance(found, Value) or found.scalar:
+        raise _invalid("an expression of columns is needed")
+    values = df.select(found.column.alias("v"))
+    kind = values.schema["v"].dataType
+    v = S.present(F.col("v"), kind)
+    numbers = [f(v.cast("double")).alias(name) for name, f in (("mean", F.avg), ("min", F.min), ("median", F.median), ("max", F.max))] if S.is_numeric(kind) else []
+    return values.agg(F.count(v).alias("n"), F.count_if(v.isNull()).alias("missing"), *numbers)

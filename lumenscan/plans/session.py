@@ -186,7 +186,17 @@ class Session:
             return response.envelope("query", {"rows": rows[:limit], "more_rows": len(rows) > limit})
         df = self.get(source).df
         rows = [r.asDict() for r in expressions.evaluate(df, text, limit).collect()]
-        return response.envelope("query", {"rows": rows})
+        return response.envelope("query", {"rows": rows} | self._whole(df, text))
+
+    @staticmethod
+    def _whole(df: DataFrame, text: str) -> dict:
+        """What the first rows do not tell: how many rows meet a condition, or the summary of a computed column."""
+        found = expressions.Compiler(df.schema).compile(text)
+        if not isinstance(found, expressions.Value) or found.scalar:
+            return {}
+        if found.family == "bool":
+            return expressions.count_matching(df, text).first().asDict()
+        return {"summary": expressions.summary(df, text).first().asDict()}
 
     def sql(self, text: str, limit: int | None = None) -> DataFrame:
         return guard.run(self.spark, text, {k: d.df for k, d in self.datasets.items()}, limit)

@@ -567,3 +567,35 @@ def windowed_profile(spark, sf_dir):
     from .streaming.windows import windowed_profile as f
 
     return rounded(f(table(spark, sf_dir, "events"), "ts", "value", "event_type"))
+
+
+@query(f"SELECT count(v) AS n, count(*) - count(v) AS missing, round(avg(v), 6) AS mean, round(min(v), 6) AS min, round(median(v), 6) AS median, round(max(v), 6) AS max FROM (SELECT ln(1 + p_size) AS v FROM {GAPPY})")
+def computed_summary(spark, sf_dir):
+    from .plans.expressions import summary
+
+    return rounded(summary(gappy_part(spark, sf_dir), "log1p(p_size)"), 6)
+
+
+@query("SELECT l_returnflag AS key, round(min(l_extendedprice), 4) AS min FROM lineitem GROUP BY l_returnflag")
+def aggregate_min(spark, sf_dir):
+    return rounded(_evaluated(table(spark, sf_dir, "lineitem"), "min(l_extendedprice, by=l_returnflag)"), 4)
+
+
+@query("SELECT l_returnflag AS key, round(max(l_extendedprice), 4) AS max FROM lineitem GROUP BY l_returnflag")
+def aggregate_max(spark, sf_dir):
+    return rounded(_evaluated(table(spark, sf_dir, "lineitem"), "max(l_extendedprice, by=l_returnflag)"), 4)
+
+
+@query("SELECT l_returnflag AS key, round(stddev_samp(l_quantity), 4) AS std FROM lineitem GROUP BY l_returnflag")
+def aggregate_std(spark, sf_dir):
+    return rounded(_evaluated(table(spark, sf_dir, "lineitem"), "std(l_quantity, by=l_returnflag)"), 4)
+
+
+@query("SELECT o_orderstatus || '-' || o_orderpriority AS key, count(DISTINCT o_custkey) AS nunique FROM orders GROUP BY 1")
+def text_concatenation(spark, sf_dir):
+    return _evaluated(table(spark, sf_dir, "orders"), "nunique(o_custkey, by=o_orderstatus + '-' + o_orderpriority)")
+
+
+@query(f"SELECT p_brand AS key, count(*) AS count FROM {GAPPY} WHERE p_size IS NOT NULL GROUP BY p_brand")
+def present_by_group(spark, sf_dir):
+    return _evaluated(gappy_part(spark, sf_dir), "count(where=notnull(p_size), by=p_brand)")

@@ -43,3 +43,13 @@ def test_dates_after_now_are_in_the_future(spark):
 def test_markers_of_missing_values():
     assert {" ", "na", "none", "unknown", "Unknown", "UNKNOWN", "MISSING", "#NULL!"} <= set(semantics.NA_VALUES)
     assert set(semantics.PLACEHOLDERS) == {"na", "n/a", "null", "none", "-", "--", "?", "unknown", "missing", "nan", "#n/a", "#null!", "<na>"}
+
+
+def test_session_tells_counts_and_summaries(spark, tmp_path):
+    from lumenscan.plans.session import Session
+
+    spark.createDataFrame([(1, 2.0), (2, None), (3, 8.0)], "i long, x double").coalesce(1).write.parquet(str(tmp_path / "t"))
+    frame = spark.read.parquet(str(tmp_path / "t"))
+    assert Session._whole(frame, "x > 3") == {"n_matching": 1, "n_rows": 3}
+    assert Session._whole(frame, "x * 2")["summary"] == {"n": 2, "missing": 1, "mean": 10.0, "min": 4.0, "median": 10.0, "max": 16.0}
+    assert Session._whole(frame, "mean(x)") == {}
