@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import semantics as S
+from . import profile
 
 # The words that read as true and as false.
 TRUE_WORDS = ("true", "yes", "y", "1", "t")
@@ -59,7 +60,15 @@ def fill_value(df: DataFrame, column: str, how: str):
         counts = df.select(v.alias("v")).where("v IS NOT NULL").groupBy("v").agg(F.count(F.lit(1)).alias("n"))
         best = counts.orderBy(F.desc("n"), F.col("v").cast("string")).first()
         return best["v"] if best else None
-    return df.agg((F.avg(v) if how == "mean" else F.median(v)).alias("x")).first()["x"]
+    if how == "mean":
+        return df.agg(F.avg(v).alias("x")).first()["x"]
+    middle = quantiles(df.select(v.cast("double").alias("v")), (0.5,)).first()
+    return middle["q"][0] if middle else None
+
+
+def quantiles(data: DataFrame, at: Sequence[float]) -> DataFrame:
+    """One row, q, of a frame of one column v; none if all are missing."""
+    return profile.quantiles(data.where("v IS NOT NULL").select(F.lit(0).alias("column"), "v"), at).select("q")
 
 
 def fill_missing(df: DataFrame, column: str, how: str = "auto", value=None, order: str | None = None, flag: bool = False) -> DataFrame:
@@ -175,11 +184,11 @@ def outlier_bounds(df: DataFrame, column: str, method: str = "iqr", k: float | N
         one = data.agg(F.avg("v").alias("m"), F.stddev_samp("v").alias("s"))
         return one.select((F.col("m") - (k or 3.0) * F.col("s")).alias("low"), (F.col("m") + (k or 3.0) * F.col("s")).alias("high"))
     if method == "modified_zscore":
-        one = data.agg(F.median("v").alias("m"))
-        mad = data.join(F.broadcast(one)).groupBy("m").agg(F.median(F.abs(F.col("v") - F.col("m"))).alias("s"))
-        return mad.select((F.col("m") - (k or 3.5) * F.col("s") / 0.6745).alias("low"), (F.col("m") + (k or 3.5) * F.col("s") / 0.6745).alias("high"))
+        one = quantiles(data, (0.5,)).select(F.col("q")[0].alias("m"))
+        mad = quantiles(data.join(F.broadcast(one)).select(F.abs(F.col("v") - F.col("m")).alias("v")), (0.5,)).select(F.col("q")[0].alias("s"))
+        return one.join(F.broadcast(mad)).select((F.col("m") - (k or 3.5) * F.col("s") / 0.6745).alias("low"), (F.col("m") + (k or 3.5) * F.col("s") / 0.6745).alias("high"))
     at = (0.25, 0.75) if method == "iqr" else (low, high)
-    one = data.agg(F.percentile("v", F.array(*map(F.lit, at))).alias("q"))
+    one = quantiles(data, at)
     gap = (F.col("q")[1] - F.col("q")[0]) * (k or 1.5) if method == "iqr" else F.lit(0.0)
     return one.select((F.col("q")[0] - gap).alias("low"), (F.col("q")[1] + gap).alias("high"))
 

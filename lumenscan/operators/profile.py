@@ -19,6 +19,10 @@ FENCE = 1.5
 MODIFIED_Z, MAD_SCALE = 3.5, 0.6745
 DOMINANCE, KEY_SHARE, MANY_VALUES = 0.99, 0.99, 50
 RARE_SHARE = 0.01
+#: Ranks of the sketch are off by at most 1 / SKETCH of the rows; brackets are twice as wide on either side.
+SKETCH = 20_000
+#: Parts in which the first values of a column are picked before all of it is.
+PARTS = 64
 
 
 def _c(df: DataFrame, name: str) -> Column:
@@ -31,16 +35,49 @@ def _long(df: DataFrame, columns: Sequence[str], value: str = "double") -> DataF
     return df.select(F.explode(pairs).alias("p")).select("p.column", "p.v").where("v IS NOT NULL")
 
 
+def quantiles(data: DataFrame, at: Sequence[float], key: str = "column") -> DataFrame:
+    """key, q (one number for each of ``at``): exact interpolated quantiles of v, for rows of key, v without missing values.
+
+    A sketch of bounded size brackets every quantile; a second pass counts what lies between brackets and sorts only
+    the different values inside them, some 4 / SKETCH of the rows for each quantile.  No task holds a column.
+    """
+    width = 2.0 / SKETCH
+    ends = [(max(0.0, x - width), min(1.0, x + width)) for x in at]
+    probes = F.percentile_approx("v", [e for pair in ends for e in pair], SKETCH)
+    sketch = data.groupBy(key).agg(F.count("v").alias("_n"), probes.alias("_p"))
+    v, first, last = F.col("v"), F.lit(float("-inf")), F.lit(float("inf"))
+    # among few rows a bracket's width is no whole rank: all of their values are sorted
+    few = F.col("_n") < 4 * SKETCH
+    low = [first if a == 0.0 else F.when(few, first).otherwise(F.col("_p")[2 * i]) for i, (a, _) in enumerate(ends)]
+    high = [last if b == 1.0 else F.when(few, last).otherwise(F.col("_p")[2 * i + 1]) for i, (_, b) in enumerate(ends)]
+    begun = sum(((v >= x).cast("int") for x in low), F.lit(0))
+    ended = sum(((v > x).cast("int") for x in high), F.lit(0))
+    # zones are in the order of values; outside of brackets a zone is one row
+    placed = data.join(F.broadcast(sketch), key).select(key, "_n", (begun + ended).alias("_z"), F.when(begun > ended, v).alias("_v"))
+    counts = placed.groupBy(key, "_n", "_z", "_v").agg(F.count(F.lit(1)).alias("_k"))
+    upto = counts.withColumn("_u", F.sum("_k").over(Window.partitionBy(key).orderBy("_z", "_v")))
+    values = []
+    for i, x in enumerate(at):
+        rank = F.lit(float(x)) * (F.col("_n") - 1)
+        below, above = (F.min(F.when(F.col("_u") > r, F.struct("_u", "_v")))["_v"].alias(f"_{side}{i}") for side, r in (("a", F.floor(rank)), ("b", F.ceil(rank))))
+        values += [below, above]
+    found = upto.groupBy(key, "_n").agg(*values)
+    part = [F.lit(float(x)) * (F.col("_n") - 1) - F.floor(F.lit(float(x)) * (F.col("_n") - 1)) for x in at]
+    a, b = (lambda i: F.col(f"_a{i}")), (lambda i: F.col(f"_b{i}"))
+    q = [F.when(a(i).isNull() | b(i).isNull(), F.raise_error(F.lit("a quantile lies outside of its bracket")).cast("double")).when(a(i) == b(i), a(i)).otherwise(a(i) * (1 - part[i]) + b(i) * part[i]) for i in range(len(at))]
+    return found.select(key, F.array(*q).alias("q"))
+
+
 def numeric_profile(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """One row for each column: the moments, quartiles, zeros, negatives and integrality, in one pass."""
-    v = F.col("v")
-    q = F.percentile(v, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    return (
-        _long(df, columns).groupBy("column").agg(
-            F.count(v).alias("n"), F.count_distinct(v).alias("n_unique"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"), F.min(v).alias("min"),
-            q.alias("q"), F.max(v).alias("max"), F.count_if(v == 0).alias("zeros"), F.count_if(v < 0).alias("negatives"), F.bool_and(v % 1 == 0).alias("integral"),
-        ).select("column", "n", "n_unique", "mean", "std", "min", F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q3"), "max", "zeros", "negatives", "integral")
+    """One row for each column: the moments, quartiles, zeros, negatives and integrality."""
+    v, data = F.col("v"), _long(df, columns)
+    stats = data.groupBy("column").agg(
+        F.count(v).alias("n"), F.count_distinct(v).alias("n_unique"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"), F.min(v).alias("min"),
+        F.max(v).alias("max"), F.count_if(v == 0).alias("zeros"), F.count_if(v < 0).alias("negatives"), F.bool_and(v % 1 == 0).alias("integral"),
     )
+    return stats.join(F.broadcast(quantiles(data, (0.25, 0.5, 0.75))), "column").select(
+        "column", "n", "n_unique", "mean", "std", "min", F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q3"), "max", "zeros", "negatives", "integral"
+    )
 
 
 def corrected_skew(v: Column) -> Column:
@@ -61,8 +98,7 @@ def shape_moments(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 def iqr_outliers(df: DataFrame, columns: Sequence[str], k: float = FENCE) -> DataFrame:
     """Values outside the quartiles by more than k interquartile ranges; none where the range is 0."""
     data = _long(df, columns)
-    q = F.percentile("v", F.array(F.lit(0.25), F.lit(0.75)))
-    bounds = data.groupBy("column").agg(q.alias("q")).select("column", (F.col("q")[0] - k * (F.col("q")[1] - F.col("q")[0])).alias("low"), (F.col("q")[1] + k * (F.col("q")[1] - F.col("q")[0])).alias("high"), (F.col("q")[1] > F.col("q")[0]).alias("spread"))
+    bounds = quantiles(data, (0.25, 0.75)).select("column", (F.col("q")[0] - k * (F.col("q")[1] - F.col("q")[0])).alias("low"), (F.col("q")[1] + k * (F.col("q")[1] - F.col("q")[0])).alias("high"), (F.col("q")[1] > F.col("q")[0]).alias("spread"))
     outside = F.count_if(F.col("spread") & ((F.col("v") < F.col("low")) | (F.col("v") > F.col("high"))))
     return data.join(F.broadcast(bounds), "column").groupBy("column", "low", "high").agg(outside.alias("n_outside"))
 
@@ -70,10 +106,10 @@ def iqr_outliers(df: DataFrame, columns: Sequence[str], k: float = FENCE) -> Dat
 def modified_z_outliers(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Values with 0.6745 |x - median| / MAD above 3.5; none where MAD is 0."""
     data = _long(df, columns)
-    medians = data.groupBy("column").agg(F.median("v").alias("median"))
+    medians = quantiles(data, (0.5,)).select("column", F.col("q")[0].alias("median"))
     apart = data.join(F.broadcast(medians), "column").withColumn("d", F.abs(F.col("v") - F.col("median")))
-    mads = apart.groupBy("column", "median").agg(F.median("d").alias("mad"))
-    return apart.drop("median").join(F.broadcast(mads), "column").groupBy("column", "median", "mad").agg(F.count_if((F.col("mad") > 0) & (MAD_SCALE * F.col("d") > MODIFIED_Z * F.col("mad"))).alias("n_outside"))
+    mads = quantiles(apart.select("column", F.col("d").alias("v")), (0.5,)).select("column", F.col("q")[0].alias("mad"))
+    return apart.join(F.broadcast(mads), "column").groupBy("column", "median", "mad").agg(F.count_if((F.col("mad") > 0) & (MAD_SCALE * F.col("d") > MODIFIED_Z * F.col("mad"))).alias("n_outside"))
 
 
 def z_outliers(df: DataFrame, columns: Sequence[str], z: float = 3.0) -> DataFrame:
@@ -155,18 +191,28 @@ def duplicate_rows(df: DataFrame, columns: Sequence[str] | None = None) -> DataF
     return counts.agg(F.coalesce(F.sum("k"), F.lit(0)).alias("n_rows"), F.count(F.lit(1)).alias("n_distinct")).withColumn("n_duplicates", F.col("n_rows") - F.col("n_distinct"))
 
 
+def most_frequent(counts: DataFrame, value: str, k: int) -> DataFrame:
+    """The first k of ``value`` of each column by n, ties by value, with their rank: of each part first, so no task orders a column."""
+    order = (F.desc("n"), F.col(value))
+    parted = counts.withColumn("_part", F.pmod(F.xxhash64(value), F.lit(PARTS)))
+    few = parted.withColumn("_r", F.row_number().over(Window.partitionBy("column", "_part").orderBy(*order))).where(F.col("_r") <= k).drop("_part", "_r")
+    return few.withColumn("rank", F.row_number().over(Window.partitionBy("column").orderBy(*order))).where(F.col("rank") <= k)
+
+
+def _totals(counts: DataFrame) -> DataFrame:
+    return counts.groupBy("column").agg(F.sum("n").alias("all"))
+
+
 def top_values(df: DataFrame, columns: Sequence[str], k: int = 5) -> DataFrame:
     """The k most frequent values of each column; ties by value."""
     counts = value_counts(df, columns)
-    share = 100.0 * F.col("n") / F.sum("n").over(Window.partitionBy("column"))
-    rank = F.row_number().over(Window.partitionBy("column").orderBy(F.desc("n"), "value"))
-    return counts.withColumns({"share_pct": share, "rank": rank}).where(F.col("rank") <= k)
+    return most_frequent(counts, "value", k).join(F.broadcast(_totals(counts)), "column").select("column", "value", "n", (100.0 * F.col("n") / F.col("all")).alias("share_pct"), "rank")
 
 
 def rare_categories(df: DataFrame, columns: Sequence[str], share: float = RARE_SHARE) -> DataFrame:
-    counts = value_counts(df, columns).withColumn("all", F.sum("n").over(Window.partitionBy("column")))
+    counts = value_counts(df, columns)
     rare = F.col("n") < share * F.col("all")
-    return counts.groupBy("column").agg(F.count_if(rare).alias("n_values"), F.sum(F.when(rare, F.col("n")).otherwise(0)).alias("n_rows"))
+    return counts.join(F.broadcast(_totals(counts)), "column").groupBy("column").agg(F.count_if(rare).alias("n_values"), F.sum(F.when(rare, F.col("n")).otherwise(0)).alias("n_rows"))
 
 
 def text_checks(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -187,9 +233,9 @@ EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
 URL = r"https?://"
 
 
-def date_like(df: DataFrame, columns: Sequence[str], most_frequent: int = 5000) -> DataFrame:
+def date_like(df: DataFrame, columns: Sequence[str], most: int = 5000) -> DataFrame:
     """Share of the most frequent values that read as dates."""
-    counts = value_counts(df, columns).withColumn("r", F.row_number().over(Window.partitionBy("column").orderBy(F.desc("n"), "value"))).where(F.col("r") <= most_frequent)
+    counts = most_frequent(value_counts(df, columns), "value", most)
     ok = S.parse_date(F.col("value")).isNotNull() & S.parse_number(F.col("value")).isNull()
     return counts.groupBy("column").agg((F.sum(F.when(ok, F.col("n")).otherwise(0)).cast("double") / F.sum("n")).alias("date_share"))
 
@@ -205,7 +251,7 @@ def key_shapes(df: DataFrame, columns: Sequence[str], k: int = 3) -> DataFrame:
     """The k most frequent shapes of keys: digits as 9, letters as A."""
     shape = F.regexp_replace(F.regexp_replace("value", "[0-9]", "9"), r"\p{L}", "A")
     counts = value_counts(df, columns).groupBy("column", shape.alias("shape")).agg(F.sum("n").alias("n"))
-    return counts.withColumn("rank", F.row_number().over(Window.partitionBy("column").orderBy(F.desc("n"), "shape"))).where(F.col("rank") <= k)
+    return most_frequent(counts, "shape", k)
 
 
 def datetime_profile(df: DataFrame, columns: Sequence[str], now: str) -> DataFrame:
@@ -230,7 +276,8 @@ def datetime_gaps(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     ends = distinct.groupBy("column", "day").agg(F.min("v").alias("first"), F.max("v").alias("last"))
     across = ends.select("column", F.lag("last").over(Window.partitionBy("column").orderBy("day")).alias("a"), F.col("first").alias("b"))
     gaps = inside.unionByName(across).where("a IS NOT NULL").select("column", S.days_between(F.col("a"), F.col("b")).alias("gap"))
-    return gaps.groupBy("column").agg(F.median("gap").alias("median_gap_days"), F.max("gap").alias("max_gap_days"))
+    median = quantiles(gaps.select("column", F.col("gap").alias("v")), (0.5,)).select("column", F.col("q")[0].alias("median_gap_days"))
+    return gaps.groupBy("column").agg(F.max("gap").alias("max_gap_days")).join(F.broadcast(median), "column").select("column", "median_gap_days", "max_gap_days")
 
 
 def calendar_breakdown(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -249,8 +296,7 @@ def histogram(df: DataFrame, columns: Sequence[str], bins: int = 10) -> DataFram
 
 
 def percentiles(df: DataFrame, columns: Sequence[str], at: Sequence[float] = (0.01, 0.05, 0.95, 0.99)) -> DataFrame:
-    q = F.percentile("v", F.array(*[F.lit(x) for x in at]))
-    return _long(df, columns).groupBy("column").agg(q.alias("q")).select("column", *[F.col("q")[i].alias(f"p{round(100 * x)}") for i, x in enumerate(at)])
+    return quantiles(_long(df, columns), at).select("column", *[F.col("q")[i].alias(f"p{round(100 * x)}") for i, x in enumerate(at)])
 
 
 def mode_value(df: DataFrame, columns: Sequence[str]) -> DataFrame:

@@ -9,63 +9,87 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import semantics as S
-from .clean import replace_column
+from .clean import quantiles, replace_column
 
 MOST_CATEGORIES = 50
 
 
+def _col(name: str) -> Column:
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def _free(df: DataFrame, *names: str) -> list[str]:
+    """The names, longer where the frame has such columns."""
+    taken = {c.lower() for c in df.columns}
+    found = []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        found.append(name)
+    return found
+
+
 def one_hot(df: DataFrame, column: str) -> DataFrame:
     """A 0/1 column for each value, in order; refused beyond 50 values."""
-    values = [r[0] for r in df.select(column).where(F.col(column).isNotNull()).distinct().orderBy(column).limit(MOST_CATEGORIES + 1).collect()]
+    v = _col(column)
+    values = [r[0] for r in df.select(v.alias("v")).where("v IS NOT NULL").distinct().orderBy("v").limit(MOST_CATEGORIES + 1).collect()]
     if len(values) > MOST_CATEGORIES:
         raise ValueError(f"{column} has more than {MOST_CATEGORIES} values")
-    return df.select("*", *[S.yes(F.col(column) == F.lit(v)).cast("int").alias(f"{column}_{v}") for v in values])
+    return df.select("*", *[S.yes(v == F.lit(x)).cast("int").alias(f"{column}_{x}") for x in values])
 
 
 def ordinal(df: DataFrame, column: str, order: Sequence) -> DataFrame:
     code = F.lit(None).cast("int")
     for i, v in reversed(list(enumerate(order))):
-        code = F.when(F.col(column) == F.lit(v), i).otherwise(code)
+        code = F.when(_col(column) == F.lit(v), i).otherwise(code)
     return df.withColumn(f"{column}_code", code)
 
 
 def frequency_encode(df: DataFrame, column: str) -> DataFrame:
-    counts = df.groupBy(F.col(column).alias("_v")).agg(F.count(F.lit(1)).alias(f"{column}_count")).where("_v IS NOT NULL")
-    return df.join(counts, F.col(column) == F.col("_v"), "left").drop("_v")
+    (value,) = _free(df, "_v")
+    counts = df.groupBy(_col(column).alias(value)).agg(F.count(F.lit(1)).alias(f"{column}_count")).where(F.col(value).isNotNull())
+    return df.join(counts, _col(column) == F.col(value), "left").drop(value)
 
 
 def target_encode(df: DataFrame, column: str, target: str, weight: float = 10.0) -> DataFrame:
     """Mean of the target by value, drawn to the whole mean by ``weight`` rows."""
-    whole = df.agg(F.avg(target).alias("_all"))
-    means = df.where(F.col(target).isNotNull() & F.col(column).isNotNull()).groupBy(F.col(column).alias("_v")).agg(F.sum(target).alias("_s"), F.count(target).alias("_k")).join(F.broadcast(whole))
-    encoded = means.select("_v", ((F.col("_s") + weight * F.col("_all")) / (F.col("_k") + weight)).alias(f"{column}_target"))
-    return df.join(encoded, F.col(column) == F.col("_v"), "left").drop("_v")
+    (value,) = _free(df, "_v")
+    known = df.select(_col(column).alias("v"), _col(target).cast("double").alias("t")).where("t IS NOT NULL")
+    whole = known.agg(F.avg("t").alias("m"))
+    means = known.where("v IS NOT NULL").groupBy("v").agg(F.sum("t").alias("s"), F.count("t").alias("k")).join(F.broadcast(whole))
+    encoded = means.select(F.col("v").alias(value), ((F.col("s") + weight * F.col("m")) / (F.col("k") + weight)).alias(f"{column}_target"))
+    return df.join(encoded, _col(column) == F.col(value), "left").drop(value)
 
 
 def scale(df: DataFrame, column: str, how: str = "standard") -> DataFrame:
     """standard: mean 0 and deviation 1; minmax: 0 to 1; robust: median 0 and interquartile range 1."""
-    v = F.col(column).cast("double")
-    a, b = {
-        "standard": (F.avg(v), F.stddev_samp(v)),
-        "minmax": (F.min(v), F.max(v) - F.min(v)),
-        "robust": (F.median(v), F.percentile(v, 0.75) - F.percentile(v, 0.25)),
-    }[how]
-    one = df.agg(a.alias("_a"), b.alias("_b"))
-    return replace_column(df.join(F.broadcast(one)), column, F.try_divide(v - F.col("_a"), F.nullif("_b", F.lit(0.0)))).drop("_a", "_b")
+    data = df.select(_col(column).cast("double").alias("v"))
+    a, b = _free(df, "_a", "_b")
+    if how == "robust":
+        q = F.col("q")
+        one = quantiles(data, (0.25, 0.5, 0.75)).select(q[1].alias(a), (q[2] - q[0]).alias(b))
+    else:
+        middle, width = {"standard": (F.avg("v"), F.stddev_samp("v")), "minmax": (F.min("v"), F.max("v") - F.min("v"))}[how]
+        one = data.agg(middle.alias(a), width.alias(b))
+    scaled = F.try_divide(_col(column).cast("double") - F.col(a), F.nullif(F.col(b), F.lit(0.0)))
+    return replace_column(df.join(F.broadcast(one), how="left"), column, scaled).drop(a, b)
 
 
 def bin_equal_width(df: DataFrame, column: str, bins: int) -> DataFrame:
-    one = df.agg(F.min(column).cast("double").alias("_lo"), F.max(column).cast("double").alias("_hi"))
-    v = F.col(column).cast("double")
-    which = F.when(v.isNotNull(), F.when(F.col("_hi") > F.col("_lo"), F.least(F.floor((v - F.col("_lo")) / ((F.col("_hi") - F.col("_lo")) / bins)), F.lit(bins - 1))).otherwise(F.lit(0)))
-    return df.join(F.broadcast(one)).withColumn(f"{column}_bin", which.cast("int")).drop("_lo", "_hi")
+    v = _col(column).cast("double")
+    a, b = _free(df, "_lo", "_hi")
+    one = df.agg(F.min(v).alias(a), F.max(v).alias(b))
+    low, high = F.col(a), F.col(b)
+    which = F.when(v.isNotNull(), F.when(high > low, F.least(F.floor((v - low) / ((high - low) / bins)), F.lit(bins - 1))).otherwise(F.lit(0)))
+    return df.join(F.broadcast(one)).withColumn(f"{column}_bin", which.cast("int")).drop(a, b)
 
 
 def bin_quantiles(df: DataFrame, column: str, bins: int) -> DataFrame:
-    v = F.col(column).cast("double")
-    one = df.agg(F.percentile(v, F.array(*[F.lit(i / bins) for i in range(1, bins)])).alias("_q"))
-    which = F.when(v.isNotNull(), F.size(F.filter("_q", lambda q: v > q)))
-    return df.join(F.broadcast(one)).withColumn(f"{column}_bin", which).drop("_q")
+    v = _col(column).cast("double")
+    (ends,) = _free(df, "_q")
+    one = quantiles(df.select(v.alias("v")), [i / bins for i in range(1, bins)]).select(F.col("q").alias(ends))
+    which = F.when(v.isNotNull(), F.size(F.filter(ends, lambda q: v > q)))
+    return df.join(F.broadcast(one), how="left").withColumn(f"{column}_bin", which).drop(ends)
 
 
 def extract_datetime(df: DataFrame, column: str, cyclical: bool = False) -> DataFrame:
