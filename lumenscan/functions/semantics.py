@@ -117,3 +117,13 @@ def is_placeholder(c: Column) -> Column:
 def days_between(a: Column, b: Column) -> Column:
     """b - a in days, for timestamps with or without a zone."""
     return (F.unix_micros(b.cast("timestamp")) - F.unix_micros(a.cast("timestamp"))) / 86_400_000_000.0
+
+
+def boxcox(v: Column, power: float) -> Column:
+    """Box and Cox's transformation of positive numbers."""
+    return F.log(v) if abs(power) < 1e-9 else F.expm1(power * F.log(v)) / power
+
+
+def yeojohnson(v: Column, power: float) -> Column:
+    """Yeo and Johnson's transformation."""
+    return F.when(v >= 0, boxcox(v + 1, power)).otherwise(-boxcox(1 - v, 2 - power))

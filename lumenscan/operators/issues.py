@@ -79,6 +79,14 @@ def skew_advice(skews: dict[str, float | None]) -> str | None:
     return min(known, key=known.get) if known else None
 
 
+def known_skews(df: DataFrame, column: str, simple) -> dict[str, float | None]:
+    """Skewness after each transformation; powers are fitted only where no simple one helps."""
+    known = {"log1p": simple["log1p"], "sqrt": simple["sqrt"], "square": simple["square"] if simple["skew"] < 0 else None}
+    if any(v is not None and abs(v) < ENOUGH_UNSKEWED for v in known.values()):
+        return known
+    return known | {name: skew for name, (_, skew) in profile.power_skews(df, column).items()}
+
+
 def encoding_advice(n_unique: int, median_length: float) -> str:
     if n_unique == 2:
         return "binary"
@@ -183,7 +191,7 @@ def _numeric_findings(df: DataFrame, columns: list[str]) -> list[Finding]:
             found.append(Finding(MEDIUM, "a few negative values", c, "check their sign", stray))
         s = skews[c]
         if s["skew"] is not None and abs(s["skew"]) > SKEWED and r["n_unique"] > 2:
-            advice = skew_advice({"log1p": s["log1p"], "sqrt": s["sqrt"], "square": s["square"] if s["skew"] < 0 else None})
+            advice = skew_advice(known_skews(df, c, s))
             found.append(Finding(LOW, f"skewness {s['skew']:.3g}", c, f"transform by {advice}" if advice else None, f["n_outside"]))
         elif f["n_outside"] > OUTLIER_SHARE * r["n"]:
             found.append(Finding(LOW, "values outside the fences", c, "clip them or check the source", f["n_outside"]))
@@ -249,6 +257,38 @@ def findings_frame(df: DataFrame) -> DataFrame:
     return df.sparkSession.createDataFrame(rows, "rank long, severity string, column string, message string, advice string, affected_rows long")
 
 
+def _class_variants(df: DataFrame, target: str) -> list[Finding]:
+    spelled = profile.spelling_variants(df, [target])
+    r = spelled.agg(F.count(F.lit(1)).alias("k"), F.sum("n_rows").alias("n"), F.max_by("spelling", "n_rows").alias("most")).first()
+    return [Finding(HIGH, f"{r['k']} classes in several spellings, as {r['most']}", target, "merge the spellings of each class", r["n"])] if r["k"] else []
+
+
+def regression_health(df: DataFrame, target: str) -> tuple[dict, list[Finding]]:
+    """Moments of a numeric target, and advice where it is skewed."""
+    stats = profile.numeric_profile(df, [target]).first()
+    skews = profile.transform_skews(df, [target]).first()
+    if stats is None:
+        return {}, []
+    body = {k: stats[k] for k in ("mean", "std", "min", "median", "max")} | {"skew": skews["skew"]}
+    if skews["skew"] is None or abs(skews["skew"]) <= SKEWED:
+        return body, []
+    after = known_skews(df, target, skews)
+    best = skew_advice(after)
+    advice = f"model {best} of the target and invert predictions (skewness {after[best]:.2f})" if best else "use a loss that outliers do not move"
+    side = "right" if skews["skew"] > 0 else "left"
+    return body, [Finding(MEDIUM, f"the target is skewed to the {side} ({skews['skew']:.2g})", target, advice)]
+
+
+def collinear_advice(clusters: Sequence[Sequence[str]], present: dict[str, int], order: Sequence[str]) -> list[Finding]:
+    """For each cluster the column to keep: the one with most values, the first in the frame among equals."""
+    found = []
+    for cluster in clusters:
+        keep = max(cluster, key=lambda c: (present[c], -order.index(c)))
+        rest = ", ".join(c for c in cluster if c != keep)
+        found.append(Finding(MEDIUM, f"{', '.join(cluster)} move together", None, f"keep {keep}; drop or combine {rest}"))
+    return found
+
+
 def analyze_target(df: DataFrame, target: str) -> dict:
     """Task, health of the target, strength of every feature, and features that give the target away."""
     kind = profile.column_kinds(df)
@@ -260,10 +300,16 @@ def analyze_target(df: DataFrame, target: str) -> dict:
         raise ValueError(f"{target} is a {k} column and cannot be predicted")
     n = _n_rows(df)
     found: list[Finding] = []
+    body: dict = {}
     if task == "classification":
         found += balance_findings({r["value"]: r["n"] for r in relations.target_balance(df, target).collect()}, n - facts[target]["n"], n)
-    elif n - facts[target]["n"]:
-        found.append(Finding(HIGH, "the target is missing in some rows", target, "leave these rows out", n - facts[target]["n"]))
+        if df.schema[target].dataType.simpleString() == "string":
+            found += _class_variants(df, target)
+    else:
+        if n - facts[target]["n"]:
+            found.append(Finding(HIGH, "the target is missing in some rows", target, "leave these rows out", n - facts[target]["n"]))
+        body, judged = regression_health(df, target)
+        found += judged
     strengths = []
     for c, other in kind.items():
         if c == target or other not in ("numeric", "datetime", "categorical", "boolean"):
@@ -286,4 +332,4 @@ def analyze_target(df: DataFrame, target: str) -> dict:
             found.append(Finding(HIGH, "gives the target away", c, "leave it out of models", n))
         elif s is not None and p < RELATED_P and s >= FEATURE_LEAST:
             strengths.append((c, s))
-    return {"task": task, "findings": ranked(found), "strengths": sorted(strengths, key=lambda x: (-x[1], x[0]))}
+    return {"task": task, "health": body, "findings": ranked(found), "strengths": sorted(strengths, key=lambda x: (-x[1], x[0]))}

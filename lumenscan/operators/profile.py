@@ -5,6 +5,7 @@ Every function aggregates in the cluster; passes are fused into as few jobs as t
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -315,6 +316,32 @@ def transform_skews(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     )
 
 
+POWERS = {"boxcox": S.boxcox, "yeojohnson": S.yeojohnson}
+
+
+def power_skews(df: DataFrame, column: str, rounds: int = 3, steps: int = 20) -> dict[str, tuple[float, float]]:
+    """Power transformations of a numeric column that can be applied: the exponent of the greatest likelihood and the skewness after it.
+
+    Each round tries a grid of exponents in one pass over all rows and the next a finer one about the best.
+    """
+    v, data = F.col("v"), _long(df, [column])
+    ends = data.agg(F.min("v").alias("low"), F.max("v").alias("high")).first()
+    if ends["low"] is None or ends["low"] == ends["high"]:
+        return {}
+    at = {name: (0.0, 5.0) for name in POWERS if name != "boxcox" or ends["low"] > 0}
+    slope = {"boxcox": F.log(v), "yeojohnson": F.signum(v) * F.log1p(F.abs(v))}
+    for _ in range(rounds):
+        grid = {name: [middle + width * (2 * i / steps - 1) for i in range(steps + 1)] for name, (middle, width) in at.items()}
+        fits = [((x - 1) * F.avg(slope[name]) - F.log(F.var_pop(POWERS[name](v, x))) / 2).alias(f"{name}{i}") for name, xs in grid.items() for i, x in enumerate(xs)]
+        r = data.agg(*fits).first()
+        for name, xs in grid.items():
+            known = [(r[f"{name}{i}"], x) for i, x in enumerate(xs) if r[f"{name}{i}"] is not None and math.isfinite(r[f"{name}{i}"])]
+            if known:
+                at[name] = (max(known)[1], at[name][1] / (steps / 2))
+    r = data.agg(*[corrected_skew(POWERS[name](v, x)).alias(name) for name, (x, _) in at.items()]).first()
+    return {name: (x, r[name]) for name, (x, _) in at.items() if r[name] is not None}
+
+
 def boolean_profile(df: DataFrame, conditions: dict[str, Column]) -> DataFrame:
     """True counts and per cent of conditions."""
     rows = F.array(*[F.struct(F.lit(k).alias("column"), c.alias("v")) for k, c in conditions.items()])

@@ -18,6 +18,8 @@ from ..functions import special
 
 LEAST_ROWS = 30
 COLLINEAR, VIF_LIMIT, STRONG = 0.9, 10.0, 0.5
+# Shares of the variance from which an effect is medium and large.
+MEDIUM_EFFECT, LARGE_EFFECT = 0.06, 0.14
 
 
 def _d(df: DataFrame, name: str) -> Column:
@@ -102,6 +104,41 @@ def eta_squared(df: DataFrame, value: str, group: str) -> DataFrame:
     )
 
 
+def group_statistics(df: DataFrame, columns: Sequence[str], group: str) -> DataFrame:
+    """column, g, k, m, s2: rows, mean and variance of every numeric column in every group, in one pass."""
+    pairs = F.array(*[F.struct(F.lit(c).alias("column"), _d(df, c).alias("v")) for c in columns])
+    data = df.select(F.col(f"`{group}`").cast("string").alias("g"), F.explode(pairs).alias("p")).select("g", "p.column", "p.v").where("g IS NOT NULL AND v IS NOT NULL")
+    return data.groupBy("column", "g").agg(F.count(F.lit(1)).alias("k"), F.avg("v").alias("m"), F.var_samp("v").alias("s2"))
+
+
+def effect_word(eta2: float) -> str:
+    """Cohen's words for shares of the variance."""
+    return "large" if eta2 >= LARGE_EFFECT else "medium" if eta2 >= MEDIUM_EFFECT else "small"
+
+
+def compare_groups(groups: Sequence, least: int = LEAST_ROWS) -> dict | None:
+    """One column's rows of ``group_statistics``: eta2, p, the effect in words, Cohen's d of two groups, the highest and the lowest mean among groups of 30 rows and more."""
+    known = sorted(groups, key=lambda r: r["g"])
+    n, count = sum(r["k"] for r in known), len(known)
+    if n < least or count < 2 or n <= count:
+        return None
+    mean = sum(r["k"] * r["m"] for r in known) / n
+    between = sum(r["k"] * (r["m"] - mean) ** 2 for r in known)
+    within = sum((r["k"] - 1) * (r["s2"] or 0.0) for r in known)
+    if between + within <= 0:
+        return None
+    eta2 = between / (between + within)
+    f = (between / (count - 1)) / (within / (n - count)) if within > 0 else None
+    found = {"eta2": eta2, "p": anova_p(n, count, f), "effect": effect_word(eta2)}
+    if count == 2 and within > 0 and n > 2:
+        found["d"] = (known[1]["m"] - known[0]["m"]) / math.sqrt(within / (n - 2))
+    big = [r for r in known if r["k"] >= least]
+    if len(big) >= 2:
+        top, low = max(big, key=lambda r: r["m"]), min(big, key=lambda r: r["m"])
+        found |= {"highest": [top["g"], top["m"]], "lowest": [low["g"], low["m"]]}
+    return found
+
+
 def anova_p(n: int, groups: int, f: float | None) -> float:
     return 0.0 if f is None else special.f_survival(f, groups - 1, n - groups)
 

@@ -3,18 +3,26 @@
 from __future__ import annotations
 
 import inspect
+import math
 import re
+import threading
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from ..functions import special
 from ..operators import clean, issues, profile, relations
 from ..sources import files, tables
 from . import expressions, guard, response
 
 MOST_SNAPSHOTS = 10
 MOST_GROUPS = 50
+# Fixed value: least share of the variance, and greatest probability, of a difference of groups.
+LEAST_EFFECT = 0.01
 
 
 @dataclass
@@ -62,12 +70,43 @@ OPERATIONS: dict[str, Callable] = {
 }
 
 
+TOOLS = ("load_dataset", "profile", "find_issues", "analyze_column", "check_relationships", "analyze_target", "query", "connect_database", "explore_schema", "clean_data", "history", "manage_sources")
+REFUSALS = {clean.Refused: "OPERATION_REFUSED"}
+
+
 class Session:
     def __init__(self, spark: SparkSession, roots: tuple[str, ...] = ()):
         self.spark, self.roots = spark, roots
         self.datasets: dict[str, Dataset] = {}
         self.connections: dict[str, tables.SqliteConnection] = {}
 
+    def call(self, tool: str, *args, seconds: float | None = None, **how) -> dict:
+        """A tool by name: its response, or the error as a response.  Jobs that run beyond ``seconds`` are cancelled."""
+        if tool not in TOOLS:
+            return response.error("INVALID_OPERATION", f"no tool {tool}")
+        context, tag, late = self.spark.sparkContext, f"lumenscan-{uuid.uuid4().hex}", threading.Event()
+
+        def stop() -> None:
+            late.set()
+            context.cancelJobsWithTag(tag)
+
+        clock = threading.Timer(seconds, stop) if seconds else None
+        context.addJobTag(tag)
+        try:
+            if clock:
+                clock.start()
+            return getattr(self, tool)(*args, **how)
+        except Exception as e:  # a response tells every failure; unforeseen ones by an id alone, as their text may hold data
+            if late.is_set():
+                return response.error("QUERY_TIMEOUT", f"{tool} took over {seconds:g} seconds", "ask for less or allow more time")
+            if isinstance(e, (ValueError, TypeError)) and not isinstance(e, PySparkException):
+                return response.error(getattr(e, "code", REFUSALS.get(type(e), "INVALID_OPERATION")), str(e))
+            return response.error("INTERNAL_ERROR", f"{type(e).__name__}, reference {uuid.uuid4().hex[:8]}")
+        finally:
+            if clock:
+                clock.cancel()
+            context.removeJobTag(tag)
+
     def _alias(self, wanted: str) -> str:
         base = re.sub(r"\W+", "_", wanted.lower()).strip("_") or "data"
         name, i = base, 2
@@ -126,6 +165,9 @@ class Session:
             r = f(df, [column]).first()
             body |= {k: v for k, v in (r.asDict() if r else {}).items() if k != "column"}
         if kind == "numeric":
+            moments = df.select(F.col(f"`{column}`").cast("double").alias("v")).agg(F.count("v").alias("n"), F.skewness("v").alias("g1"), F.kurtosis("v").alias("g2")).first()
+            if moments["g1"] is not None and math.isfinite(moments["g1"]):
+                body["normality_p"] = special.normality_p(moments["n"], moments["g1"], moments["g2"] + 3)
             body["histogram"] = [r["n"] for r in profile.histogram(df, [column]).orderBy("bin").collect()]
         elif kind == "datetime":
             body["calendar"] = [[r["unit"], r["value"], r["n"]] for r in profile.calendar_breakdown(df, [column]).orderBy("unit", "value").collect()]
@@ -146,9 +188,15 @@ class Session:
             groups = {r["column"]: r["n_unique"] for r in profile.kinds(df.select(f"`{group_by}`")).collect()}[group_by]
             if groups > MOST_GROUPS:
                 raise expressions.ExpressionError("INVALID_OPERATION", f"{groups} groups are too many to compare")
-            rows = [(c, relations.eta_squared(df, c, group_by).first()) for c in numbers if c != group_by]
-            found = sorted([{"column": c, "eta2": r["eta2"], "p": relations.anova_p(r["n"], r["n_groups"], r["f"])} for c, r in rows if r and r["eta2"] is not None], key=lambda x: -x["eta2"])
-            return response.envelope("check_relationships", {"group_by": group_by, "differences": [x for x in found if x["eta2"] >= 0.01 and x["p"] < 0.01]})
+            by: dict[str, list] = {}
+            compared = [c for c in numbers if c != group_by]
+            for r in relations.group_statistics(df, compared, group_by).collect() if compared else []:
+                by.setdefault(r["column"], []).append(r)
+            found = [{"column": c, **x} for c, x in ((c, relations.compare_groups(rows)) for c, rows in by.items()) if x and x["eta2"] >= LEAST_EFFECT and x["p"] < LEAST_EFFECT]
+            for c in (c for c, k in kinds.items() if k in ("categorical", "boolean") and c != group_by):
+                v = relations.cramers_v(df, c, group_by).first()["v"]
+                found += [{"column": c, "v": v, "eta2": v * v}] if v is not None and v * v >= LEAST_EFFECT else []
+            return response.envelope("check_relationships", {"group_by": group_by, "differences": sorted(found, key=lambda x: (-x["eta2"], x["column"]))})
         pairs = [(r["a"], r["b"], r["r"]) for r in relations.pearson_pairs(df, numbers).collect()] if len(numbers) > 1 else []
         ranks = {(r["a"], r["b"]): r["r"] for r in relations.spearman_pairs(df, numbers).collect()} if len(numbers) > 1 else {}
         categories = [c for c, k in kinds.items() if k in ("categorical", "boolean")]
@@ -161,14 +209,20 @@ class Session:
             for b in categories[i + 1 :]:
                 v = relations.cramers_v(df, a, b).first()["v"]
                 found += [{"a": a, "b": b, "strength": v, "how": "association"}] if v is not None else []
-            for b in numbers:
-                r = relations.eta_squared(df, b, a).first()
-                found += [{"a": a, "b": b, "strength": r["eta2"] ** 0.5, "how": "group differences"}] if r and r["eta2"] is not None else []
+            by = {}
+            for r in relations.group_statistics(df, numbers, a).collect() if numbers else []:
+                by.setdefault(r["column"], []).append(r)
+            for b, rows in by.items():
+                x = relations.compare_groups(rows)
+                found += [{"a": a, "b": b, "strength": x["eta2"] ** 0.5, "how": "group differences"}] if x and x["p"] < LEAST_EFFECT else []
         least = 0.1 if target else relations.STRONG
         found = sorted((x for x in found if x["strength"] >= least and (not target or target in (x["a"], x["b"]))), key=lambda x: (-x["strength"], x["a"], x["b"]))
         vif = {c: v for c, v in relations.variance_inflation(numbers, pairs).items() if v > relations.VIF_LIMIT} if pairs else {}
         shown, left = response.fit(found, 500)
-        return response.envelope("check_relationships", {"pairs": shown, "pairs_left_out": left or None, "clusters": relations.collinear_clusters(pairs), "inflated": vif})
+        clusters = relations.collinear_clusters(pairs)
+        present = {r["column"]: -r["missing"] for r in profile.missing_summary(df).collect()} if clusters else {}
+        advice = [vars(f) for f in issues.collinear_advice(clusters, present, df.columns)]
+        return response.envelope("check_relationships", {"pairs": shown, "pairs_left_out": left or None, "clusters": clusters, "inflated": vif}, advice)
 
     def analyze_target(self, alias: str, target: str) -> dict:
         df = self.get(alias).df
@@ -177,7 +231,7 @@ class Session:
             found = issues.analyze_target(df, target)
         except ValueError as e:
             raise expressions.ExpressionError("INVALID_OPERATION", str(e)) from None
-        return response.envelope("analyze_target", {"task": found["task"], "strengths": found["strengths"][:10]}, [vars(f) for f in found["findings"]])
+        return response.envelope("analyze_target", {"task": found["task"], "health": found["health"], "strengths": found["strengths"][:10]}, [vars(f) for f in found["findings"]])
 
     def query(self, source: str, text: str, limit: int = 20) -> dict:
         if source in self.connections:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .operators import clean, profile, relations
+from .operators import clean, profile, relations, reshape
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -494,6 +494,11 @@ STATEMENTS = {
     "sql_set_ops": "SELECT c_nationkey AS k FROM customer UNION SELECT s_nationkey FROM supplier EXCEPT SELECT n_nationkey FROM nation WHERE n_regionkey = 1",
     "sql_cte_left_join": "WITH big AS (SELECT o_custkey, count(*) AS n FROM orders WHERE o_totalprice > 100000 GROUP BY o_custkey) SELECT c_custkey, coalesce(n, 0) AS n FROM customer LEFT JOIN big ON c_custkey = o_custkey",
     "sql_cube": "SELECT l_returnflag, l_linestatus, count(*) AS n, round(avg(l_quantity), 6) AS q FROM lineitem GROUP BY CUBE (l_returnflag, l_linestatus)",
+    "sql_right_full_join": "SELECT n_name, r_name, s_name FROM nation RIGHT JOIN region ON n_regionkey = r_regionkey FULL JOIN (SELECT s_nationkey, s_name FROM supplier WHERE s_suppkey % 2 = 0) s ON s_nationkey = n_nationkey",
+    "sql_intersect": "SELECT c_custkey FROM customer WHERE c_acctbal > 0 INTERSECT SELECT o_custkey FROM orders WHERE o_totalprice > 50000",
+    "sql_order_limit": "SELECT o_orderkey, round(o_totalprice, 4) AS o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 25",
+    "sql_self_join": "SELECT a.n_name AS a, b.n_name AS b FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey < b.n_nationkey",
+    "sql_having_rollup": "SELECT l_returnflag, l_linestatus, count(*) AS n FROM lineitem GROUP BY ROLLUP (l_returnflag, l_linestatus) HAVING count(*) > 100",
     "sql_case_like": "SELECT CASE WHEN p_type LIKE '%PROMO%' THEN 'promo' WHEN p_size IN (1, 2, 3) THEN 'small' ELSE 'other' END AS kind, count(*) AS n FROM part GROUP BY 1",
 }
 
@@ -521,44 +526,32 @@ for _name, _text in STATEMENTS.items():
 
 @query("SELECT p_partkey, round((p_retailprice - (SELECT avg(p_retailprice) FROM part)) / (SELECT stddev_samp(p_retailprice) FROM part), 6) AS p_retailprice FROM part")
 def scale_standard(spark, sf_dir):
-    from .operators import reshape
-
     return rounded(reshape.scale(table(spark, sf_dir, "part").select("p_partkey", "p_retailprice"), "p_retailprice"))
 
 
 @query("SELECT p_partkey, p_type, count(*) OVER (PARTITION BY p_type) AS p_type_count FROM part")
 def frequency_encode(spark, sf_dir):
-    from .operators import reshape
-
     return reshape.frequency_encode(table(spark, sf_dir, "part").select("p_partkey", "p_type"), "p_type")
 
 
 @query("SELECT event_id, lag(value) OVER (PARTITION BY user_id ORDER BY event_id) AS value_lag1, round(avg(value) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN 2 PRECEDING AND CURRENT ROW), 6) AS value_mean3 FROM events")
 def lag_rolling(spark, sf_dir):
-    from .operators import reshape
-
     df = reshape.rolling(reshape.lagged(table(spark, sf_dir, "events"), "value", "event_id", ["user_id"]), "value", "event_id", ["user_id"], 3)
     return rounded(df.select("event_id", "value_lag1", "value_mean3"))
 
 
 @query("SELECT l_returnflag, round(sum(l_quantity) FILTER (WHERE l_linestatus = 'F'), 4) AS F, round(sum(l_quantity) FILTER (WHERE l_linestatus = 'O'), 4) AS O FROM lineitem GROUP BY 1")
 def pivot_sum(spark, sf_dir):
-    from .operators import reshape
-
     return rounded(reshape.pivot(table(spark, sf_dir, "lineitem"), ["l_returnflag"], "l_linestatus", "l_quantity", ["F", "O"]), 4)
 
 
 @query("SELECT (SELECT count(*) FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)) AS left_only, 0::BIGINT AS right_only, (SELECT count(*) FROM orders) AS joined, (SELECT max(n) FROM (SELECT count(*) AS n FROM orders GROUP BY o_custkey)) AS most_partners")
 def merge_diagnostics(spark, sf_dir):
-    from .operators import reshape
-
     return reshape.merge_diagnostics(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k")), table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("k")), ["k"])
 
 
 @query("SELECT 'cheap' AS rule, count(*) FILTER (WHERE NOT l_discount <= 0.1) = 0 AS passed, count(*) FILTER (WHERE NOT l_discount <= 0.1) AS n_violations, count(*) AS n_rows FROM lineitem UNION ALL SELECT 'few', count(*) FILTER (WHERE NOT l_quantity < 40) = 0, count(*) FILTER (WHERE NOT l_quantity < 40), count(*) FROM lineitem")
 def validate_rules(spark, sf_dir):
-    from .operators import reshape
-
     return reshape.validate_rules(table(spark, sf_dir, "lineitem"), {"cheap": F.expr("l_discount <= 0.1"), "few": F.expr("l_quantity < 40")})
 
 
@@ -599,3 +592,110 @@ def text_concatenation(spark, sf_dir):
 @query(f"SELECT p_brand AS key, count(*) AS count FROM {GAPPY} WHERE p_size IS NOT NULL GROUP BY p_brand")
 def present_by_group(spark, sf_dir):
     return _evaluated(gappy_part(spark, sf_dir), "count(where=notnull(p_size), by=p_brand)")
+
+
+# --- more of cleaning and reshaping ----------------------------------------------------------------------------
+
+
+@query(f"SELECT p_partkey, round(coalesce(p_size::DOUBLE, (SELECT avg(p_size) FROM {GAPPY})), 6) AS p_size FROM {GAPPY}")
+def fill_mean(spark, sf_dir):
+    return rounded(clean.fill_missing(gappy_part(spark, sf_dir).select("p_partkey", F.col("p_size").cast("double").alias("p_size")), "p_size", "mean"))
+
+
+@query(f"SELECT p_partkey, coalesce(p_size, -1)::BIGINT AS p_size FROM {GAPPY}")
+def fill_constant(spark, sf_dir):
+    return rounded(clean.fill_missing(gappy_part(spark, sf_dir).select("p_partkey", "p_size"), "p_size", "constant", -1))
+
+
+@query("SELECT p_partkey AS key, p_type AS kind FROM part")
+def rename_columns(spark, sf_dir):
+    return clean.rename_columns(table(spark, sf_dir, "part").select("p_partkey", "p_type"), {"p_partkey": "key", "p_type": "kind"})
+
+
+@query("SELECT c_custkey, c_mktsegment FROM customer")
+def drop_columns(spark, sf_dir):
+    df = table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_mktsegment")
+    return clean.drop_columns(df, ["c_name"])
+
+
+@query("SELECT event_id FROM events, (SELECT quantile_cont(value, 0.02) AS a, quantile_cont(value, 0.98) AS b FROM events) WHERE value BETWEEN a AND b")
+def drop_outliers_percentile(spark, sf_dir):
+    return clean.remove_outliers(table(spark, sf_dir, "events").select("event_id", "value"), "value", "percentile", low=0.02, high=0.98).select("event_id")
+
+
+@query("WITH m AS (SELECT median(value) AS m, mad(value) AS d FROM events) SELECT event_id, (value < m - 3.5 * d / 0.6745 OR value > m + 3.5 * d / 0.6745)::BIGINT AS value_is_outlier FROM events, m")
+def flag_outliers_modified(spark, sf_dir):
+    return rounded(clean.remove_outliers(table(spark, sf_dir, "events").select("event_id", "value"), "value", "modified_zscore", "flag").select("event_id", "value_is_outlier"))
+
+
+@query("SELECT p_partkey, round((p_retailprice - (SELECT median(p_retailprice) FROM part)) / (SELECT quantile_cont(p_retailprice, 0.75) - quantile_cont(p_retailprice, 0.25) FROM part), 6) AS p_retailprice FROM part")
+def scale_robust(spark, sf_dir):
+    return rounded(reshape.scale(table(spark, sf_dir, "part").select("p_partkey", "p_retailprice"), "p_retailprice", "robust"))
+
+
+@query("SELECT p_partkey, round((p_size - (SELECT min(p_size) FROM part))::DOUBLE / (SELECT max(p_size) - min(p_size) FROM part), 6) AS p_size FROM part")
+def scale_minmax(spark, sf_dir):
+    return rounded(reshape.scale(table(spark, sf_dir, "part").select("p_partkey", "p_size"), "p_size", "minmax"))
+
+
+@query("SELECT event_id, ((value > a)::INT + (value > b)::INT + (value > c)::INT)::BIGINT AS value_bin FROM events, (SELECT quantile_cont(value, 0.25) AS a, quantile_cont(value, 0.5) AS b, quantile_cont(value, 0.75) AS c FROM events)")
+def bin_quantiles(spark, sf_dir):
+    return rounded(reshape.bin_quantiles(table(spark, sf_dir, "events").select("event_id", "value"), "value", 4).select("event_id", "value_bin"))
+
+
+@query("SELECT p_partkey, least(floor((p_size - lo) / ((hi - lo) / 5.0)), 4)::BIGINT AS p_size_bin FROM part, (SELECT min(p_size) AS lo, max(p_size) AS hi FROM part)")
+def bin_equal_width(spark, sf_dir):
+    return rounded(reshape.bin_equal_width(table(spark, sf_dir, "part").select("p_partkey", "p_size"), "p_size", 5).select("p_partkey", "p_size_bin"))
+
+
+@query("SELECT p_partkey, round((s + 10.0 * m) / (k + 10.0), 6) AS p_type_target FROM part JOIN (SELECT p_type, sum(p_retailprice) AS s, count(*) AS k FROM part GROUP BY p_type) USING (p_type), (SELECT avg(p_retailprice) AS m FROM part)")
+def target_encode(spark, sf_dir):
+    return rounded(reshape.target_encode(table(spark, sf_dir, "part").select("p_partkey", "p_type", "p_retailprice"), "p_type", "p_retailprice").select("p_partkey", "p_type_target"))
+
+
+@query("SELECT o_orderkey, (o_orderstatus = 'F')::BIGINT AS o_orderstatus_F, (o_orderstatus = 'O')::BIGINT AS o_orderstatus_O, (o_orderstatus = 'P')::BIGINT AS o_orderstatus_P FROM orders")
+def one_hot(spark, sf_dir):
+    return rounded(reshape.one_hot(table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus"), "o_orderstatus").drop("o_orderstatus"))
+
+
+@query("SELECT o_orderkey, CASE o_orderstatus WHEN 'O' THEN 0 WHEN 'P' THEN 1 WHEN 'F' THEN 2 END::BIGINT AS o_orderstatus_code FROM orders")
+def ordinal_encode(spark, sf_dir):
+    return rounded(reshape.ordinal(table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus"), "o_orderstatus", ["O", "P", "F"]).drop("o_orderstatus"))
+
+
+@query("SELECT o_orderkey, year(o_orderdate)::BIGINT AS o_orderdate_year, month(o_orderdate)::BIGINT AS o_orderdate_month, day(o_orderdate)::BIGINT AS o_orderdate_day, (isodow(o_orderdate) - 1)::BIGINT AS o_orderdate_weekday, hour(o_orderdate)::BIGINT AS o_orderdate_hour FROM orders")
+def extract_datetime(spark, sf_dir):
+    return rounded(reshape.extract_datetime(table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate"), "o_orderdate").drop("o_orderdate"))
+
+
+@query("SELECT p_partkey, 'p_size' AS variable, p_size::DOUBLE AS value FROM part UNION ALL SELECT p_partkey, 'p_retailprice', p_retailprice FROM part")
+def melt(spark, sf_dir):
+    return reshape.melt(table(spark, sf_dir, "part").select("p_partkey", F.col("p_size").cast("double").alias("p_size"), "p_retailprice"), ["p_partkey"], ["p_size", "p_retailprice"])
+
+
+@query("SELECT n_nationkey::BIGINT AS k, n_name AS name, NULL::BIGINT AS extra FROM nation UNION ALL SELECT r_regionkey::BIGINT, r_name, 1::BIGINT FROM region")
+def concat_frames(spark, sf_dir):
+    nations = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("k"), F.col("n_name").alias("name"))
+    return reshape.concat([nations, table(spark, sf_dir, "region").select(F.col("r_regionkey").cast("long").alias("k"), F.col("r_name").alias("name"), F.lit(1).cast("long").alias("extra"))])
+
+
+@query("SELECT l_shipmode, round(sum(l_quantity), 4) AS l_quantity_sum, round(avg(l_quantity), 6) AS l_quantity_mean, count(DISTINCT l_suppkey) AS l_suppkey_nunique FROM lineitem GROUP BY 1".replace("l_shipmode", "l_returnflag"))
+def group_aggregate(spark, sf_dir):
+    return rounded(reshape.group_aggregate(table(spark, sf_dir, "lineitem"), ["l_returnflag"], {"l_quantity": ["sum", "mean"], "l_suppkey": ["nunique"]}))
+
+
+@query(" UNION ALL ".join(f"SELECT '{c}' AS \"column\", l_returnflag AS g, count(*) AS k, round(avg({c}), 6) AS m, round(var_samp({c}), 5) AS s2 FROM lineitem GROUP BY 2" for c in ("l_quantity", "l_discount")))
+def group_statistics(spark, sf_dir):
+    df = relations.group_statistics(table(spark, sf_dir, "lineitem"), ["l_quantity", "l_discount"], "l_returnflag")
+    return df.select("column", "g", "k", F.round("m", 6).alias("m"), F.round("s2", 5).alias("s2"))
+
+
+@query(f"SELECT p_partkey FROM {GAPPY} WHERE p_size IS NOT NULL AND p_retailprice IS NOT NULL AND NOT p_brand LIKE '%1%'")
+def present_and_not(spark, sf_dir):
+    return _matching(gappy_part(spark, sf_dir), "notnull(p_size) and p_retailprice == p_retailprice and not contains(p_brand, '1')", "p_partkey")
+
+
+@query("SELECT 'l_extendedprice' AS \"column\", round(quantile_cont(l_extendedprice, 0.001), 6) AS q1, round(quantile_cont(l_extendedprice, 0.5), 6) AS q2, round(quantile_cont(l_extendedprice, 0.999), 6) AS q3 FROM lineitem")
+def bracketed_quantiles(spark, sf_dir):
+    q = profile.quantiles(table(spark, sf_dir, "lineitem").select(F.lit("l_extendedprice").alias("column"), F.col("l_extendedprice").alias("v")), (0.001, 0.5, 0.999))
+    return rounded(q.select("column", *[F.col("q")[i].alias(f"q{i + 1}") for i in range(3)]))

@@ -2,6 +2,8 @@
 
 from datetime import datetime, timedelta
 
+from pyspark.sql import functions as F
+
 from lumenscan.functions import semantics
 from lumenscan.operators import clean, issues
 from lumenscan.plans import expressions
@@ -53,3 +55,77 @@ def test_session_tells_counts_and_summaries(spark, tmp_path):
     assert Session._whole(frame, "x > 3") == {"n_matching": 1, "n_rows": 3}
     assert Session._whole(frame, "x * 2")["summary"] == {"n": 2, "missing": 1, "mean": 10.0, "min": 4.0, "median": 10.0, "max": 16.0}
     assert Session._whole(frame, "mean(x)") == {}
+
+
+def test_quantiles_against_all_values(spark, monkeypatch):
+    import numpy as np
+
+    from lumenscan.operators import profile
+
+    monkeypatch.setattr(profile, "SKETCH", 200)
+    at = (0.0, 0.01, 0.25, 0.5, 0.99, 1.0)
+    for n, digits in ((1, 3), (2, 3), (7, 0), (30_000, 3), (30_000, 0)):
+        df = spark.range(n).select(F.round(F.sin(F.col("id") * F.col("id")) * 40, digits).alias("x"), F.lit(None).cast("double").alias("y"))
+        found = {r["column"]: r["q"] for r in profile.quantiles(profile._long(df, ["x", "y"]), at).collect()}
+        assert set(found) == {"x"} and np.allclose(found["x"], np.quantile([r["x"] for r in df.collect()], at)), (n, digits)
+
+
+def test_power_transformations_where_no_simple_one_helps(spark):
+    from lumenscan.operators import profile
+
+    df = spark.range(2000).select(F.exp(F.exp((F.col("id") / 2000) * 2)).alias("x"), (F.exp(F.col("id") / 400) - 20).alias("y"))
+    assert set(profile.power_skews(df, "x")) == {"boxcox", "yeojohnson"} and set(profile.power_skews(df, "y")) == {"yeojohnson"}
+    assert abs(profile.power_skews(df, "x")["boxcox"][1]) < 0.3
+    assert profile.power_skews(df.selectExpr("1.0 as x"), "x") == {}
+    body, judged = issues.regression_health(df, "x")
+    assert body["skew"] > 1 and "to the right" in judged[0].message
+
+
+def test_groups_are_compared(spark):
+    from lumenscan.operators import relations
+
+    df = spark.range(200).selectExpr("if(id % 2 = 0, 'a', 'b') as g", "id % 10 + if(id % 2 = 0, 0, 5) as x", "cast(null as double) as y")
+    rows = relations.group_statistics(df, ["x", "y"], "g").collect()
+    found = relations.compare_groups(rows)
+    assert found["highest"] == ["b", 10.0] and found["lowest"] == ["a", 4.0] and found["effect"] == "large" and 2.0 < found["d"] < 2.2 and found["p"] < 1e-9
+    assert relations.compare_groups(rows[:1]) is None
+    assert [relations.effect_word(x) for x in (0.05, 0.06, 0.14)] == ["small", "medium", "large"]
+
+
+def test_the_most_complete_column_of_a_cluster_stays():
+    f = issues.collinear_advice([["a", "b", "c"]], {"a": 5, "b": 9, "c": 9}, ["a", "c", "b"])
+    assert f[0].advice == "keep c; drop or combine a, b"
+
+
+def test_classes_in_several_spellings(spark):
+    df = spark.range(120).selectExpr("if(id % 3 = 0, 'Yes', if(id % 3 = 1, 'yes', 'no')) as t", "id % 7 as x")
+    said = [f.message for f in issues.analyze_target(df, "t")["findings"]]
+    assert any("spellings" in m for m in said)
+
+
+def test_errors_are_responses(spark):
+    from lumenscan.plans.session import Session
+
+    s = Session(spark)
+    s.register(spark.range(10).selectExpr("id", "id * 2.0 as x"), "t")
+    code = lambda r: (r["ok"], r.get("error", {}).get("code"))
+    assert s.call("query", "t", "mean(x)")["ok"]
+    assert code(s.call("query", "nothing", "mean(x)")) == (False, "SOURCE_NOT_FOUND")
+    assert code(s.call("query", "t", "mean(z)")) == (False, "COLUMN_NOT_FOUND")
+    assert code(s.call("nothing")) == (False, "INVALID_OPERATION")
+    s.register(spark.range(4).selectExpr("id", "raise_error('secret') as x"), "bad")
+    r = s.call("query", "bad", "rows()")
+    assert code(r) == (False, "INTERNAL_ERROR") and "secret" not in str(r)
+    s.register(spark.range(40_000_000).selectExpr("id", "sha2(repeat(cast(id as string), 50), 512) as x"), "slow")
+    assert code(s.call("query", "slow", "nunique(x)", seconds=1.0)) == (False, "QUERY_TIMEOUT")
+
+
+def test_helper_columns_do_not_clash(spark):
+    from lumenscan.operators import reshape
+
+    df = spark.createDataFrame([(1.0, "p", 7), (2.0, "q", 8), (3.0, "q", 9)], "`a b` double, _v string, _a long")
+    assert [r["a b"] for r in reshape.scale(df, "a b").orderBy("_a").collect()] == [-1.0, 0.0, 1.0]
+    assert [r["_v_target"] for r in reshape.target_encode(df, "_v", "a b", 0.0).orderBy("_a").collect()] == [1.0, 2.5, 2.5]
+    assert reshape.frequency_encode(df, "_v").columns == ["a b", "_v", "_a", "_v_count"]
+    empty = df.where("false")
+    assert reshape.scale(empty, "a b", "robust").count() == 0 and reshape.bin_quantiles(df.withColumn("n", F.lit(None).cast("double")), "n", 3).count() == 3
