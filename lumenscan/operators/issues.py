@@ -176,14 +176,14 @@ def _n_rows(df: DataFrame) -> int:
 def _numeric_findings(df: DataFrame, columns: list[str]) -> list[Finding]:
     found = []
     stats = {r["column"]: r for r in profile.numeric_profile(df, columns).collect()}
-    fences = {r["column"]: r for r in profile.iqr_outliers(df, columns).collect()}
+    fences = {c: profile.fences(r) for c, r in stats.items()}
+    outside = profile.outside_counts(df, fences) if fences else {}
     skews = {r["column"]: r for r in profile.transform_skews(df, columns).collect()}
     codes: dict[str, dict[int, int]] = {}
     for r in profile.sentinel_counts(df, columns).collect():
         codes.setdefault(r["column"], {})[r["code"]] = r["n"]
     for c, r in stats.items():
-        f = fences[c]
-        coded = sentinel_findings(c, codes.get(c, {}), r["n"], f["low"], f["high"], r["negatives"])
+        coded = sentinel_findings(c, codes.get(c, {}), r["n"], *fences[c], r["negatives"])
         found += coded
         by_codes = sum(codes[c][k] for k in codes.get(c, {}) if k < 0 and any(str(k) in x.message for x in coded))
         stray = r["negatives"] - by_codes
@@ -192,9 +192,9 @@ def _numeric_findings(df: DataFrame, columns: list[str]) -> list[Finding]:
         s = skews[c]
         if s["skew"] is not None and abs(s["skew"]) > SKEWED and r["n_unique"] > 2:
             advice = skew_advice(known_skews(df, c, s))
-            found.append(Finding(LOW, f"skewness {s['skew']:.3g}", c, f"transform by {advice}" if advice else None, f["n_outside"]))
-        elif f["n_outside"] > OUTLIER_SHARE * r["n"]:
-            found.append(Finding(LOW, "values outside the fences", c, "clip them or check the source", f["n_outside"]))
+            found.append(Finding(LOW, f"skewness {s['skew']:.3g}", c, f"transform by {advice}" if advice else None, outside[c]))
+        elif outside[c] > OUTLIER_SHARE * r["n"]:
+            found.append(Finding(LOW, "values outside the fences", c, "clip them or check the source", outside[c]))
     return found
 
 

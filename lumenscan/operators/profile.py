@@ -104,6 +104,18 @@ def iqr_outliers(df: DataFrame, columns: Sequence[str], k: float = FENCE) -> Dat
     return data.join(F.broadcast(bounds), "column").groupBy("column", "low", "high").agg(outside.alias("n_outside"))
 
 
+def fences(stats, k: float = FENCE) -> tuple[float, float]:
+    """Of a row with the quartiles q1 and q3."""
+    return stats["q1"] - k * (stats["q3"] - stats["q1"]), stats["q3"] + k * (stats["q3"] - stats["q1"])
+
+
+def outside_counts(df: DataFrame, bounds: dict[str, tuple[float, float]]) -> dict[str, int]:
+    """Values of each column outside its two bounds, none where they are equal; in one pass."""
+    v = {c: _c(df, c).cast("double") for c in bounds}
+    r = df.agg(*[(F.count_if((v[c] < a) | (v[c] > b)) if a < b else F.lit(0)).alias(f"_{i}") for i, (c, (a, b)) in enumerate(bounds.items())]).first()
+    return {c: r[f"_{i}"] for i, c in enumerate(bounds)}
+
+
 def modified_z_outliers(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Values with 0.6745 |x - median| / MAD above 3.5; none where MAD is 0."""
     data = _long(df, columns)
