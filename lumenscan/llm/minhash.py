@@ -7,11 +7,11 @@ candidates.  A candidate is verified by the longest common subsequence of the tw
 band: similarity is common / (all - common), and the band is as wide as any alignment of that similarity needs,
 so the threshold is exact.
 
-Candidates are grouped by ``grouping.groups``: leaders of buckets first, small buckets pair by pair, and the texts of
-large buckets that their leader is not near to again at the next of ``LEVELS``, by sketches with more picks, of
-which two texts share one only if they are more alike.  Two texts with the labelled similarity s share one of k sketches
-of p picks with a chance of about 1 - (1 - s ** p) ** k: at 0.8, 0.9998 for two texts that meet at the first level, 0.998 at
-the second, 0.60 at the third, where only pairs of groups of many near copies come that no chain links by then.
+Two texts with the labelled similarity s share one of k sketches of p picks with a chance of about 1 - (1 - s ** p) ** k:
+0.99999 at 0.8.  Candidates are grouped by ``grouping.groups``: leaders of buckets first, small buckets pair by pair.  Of large
+buckets every two blocks of texts are compared as a whole: the labelled shingles that two texts share are counted by
+an index of the blocks, and those that share enough for the threshold, which no alignment can exceed, are aligned unless links
+found before join them.
 
 Texts are written once, dealt out by their key; only pairs travel to them.  A key has 64 bits; texts that share one
 by chance are told apart by 64 more and get others.
@@ -25,6 +25,7 @@ rows any).  Columns of any other names stay out of the plan of ``classes`` and u
 
 from __future__ import annotations
 
+from collections import Counter
 from functools import lru_cache
 
 import numpy as np
@@ -34,16 +35,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Workspace, cut, different
-from .grouping import groups
+from .grouping import blocks, groups
 
 SHINGLE = 5
 SIMILARITY = 0.8
-SKETCHES = 12
+SKETCHES = 16
 PICKS = 3
-#: Sketches and their picks, level by level.
-LEVELS = ((SKETCHES, PICKS), (32, 8), (32, 16))
-#: So many shingles for each pick, or a level has the sketches of the first one for a text.
-SHINGLES_A_PICK = 4
+#: Texts and characters of a block of a large bucket.
+BLOCK_ROWS, BLOCK_CHARS = 2048, 1 << 24
 
 _hash = xxhash.xxh3_64_intdigest
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -104,16 +103,6 @@ def sketch(h: np.ndarray, sketches: int = SKETCHES, picks: int = PICKS) -> np.nd
     return found
 
 
-def sketches_of(h: np.ndarray, level: int) -> np.ndarray:
-    """Those of a level.  Texts too short for its picks have those of the first; around the limit they have both, so that near ones share a kind."""
-    count, picks = LEVELS[level]
-    limit = SHINGLES_A_PICK * picks
-    kinds = [(count, picks)] if not level or len(h) >= SIMILARITY * limit else []
-    if level and len(h) <= limit / SIMILARITY:
-        kinds.append(LEVELS[0])
-    return np.concatenate([sketch(h, *kind) for kind in kinds])
-
-
 class Aligner:
     """One sequence of shingles, against which others are aligned."""
 
@@ -185,12 +174,12 @@ def similarity(x: str | None, y: str | None, least: float = SIMILARITY) -> float
     return Aligner(shingles(x)).similarity(shingles(y), least)
 
 
-def _buckets(texts: DataFrame, level: int) -> DataFrame:
-    """_bucket, _t: the sketches of texts (_t, _text) at a level."""
+def _buckets(texts: DataFrame) -> DataFrame:
+    """_bucket, _t: the sketches of texts (_t, _text)."""
 
     def run(batches):
         for batch in batches:
-            found = [sketches_of(h, level).view(np.int64) if len(h := shingles(text)) else () for text in batch.column(1).to_pylist()]
+            found = [sketch(h).view(np.int64) if len(h := shingles(text)) else () for text in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int64()))], ["_t", "_sketches"])
 
     return texts.select("_t", "_text").mapInArrow(run, "_t long, _sketches array<long>").select(F.explode("_sketches").alias("_bucket"), "_t")
@@ -213,6 +202,59 @@ def _verified(pairs: DataFrame, texts: DataFrame, work: Workspace) -> DataFrame:
     return both.mapInArrow(run, "a long, b long")
 
 
+def _links_of_blocks(bucket: int, i: int, j: int, rows: list[tuple[int, int, int, list[int], str]]) -> list[tuple[int, int]]:
+    """Links that join what is linked between the blocks i and j of a bucket, or within i.  rows: _t, _c, _x, _all, _text."""
+    root: dict[int, int] = {}
+
+    def find(c: int) -> int:
+        while (up := root.get(c, c)) != c:
+            root[c] = root.get(up, up)
+            c = up
+        return c
+
+    t, c, x, every, texts = zip(*rows, strict=True)
+    largest = Counter(c).most_common(1)[0][0]
+    sequences = [shingles(text) for text in texts]
+    labels = [labelled(h) for h in sequences]
+    lengths, sides, ids = np.array([len(h) for h in sequences]), np.array(x), np.array(t)
+    outside = np.array([k != largest for k in c])
+    tokens, owners = np.concatenate(labels), np.repeat(np.arange(len(rows)), lengths)
+    order = np.argsort(tokens, kind="stable")
+    tokens, owners = tokens[order], owners[order]
+    found = []
+    for a in np.flatnonzero(outside).tolist():
+        low, high = np.searchsorted(tokens, labels[a], "left"), np.searchsorted(tokens, labels[a], "right")
+        counts = high - low
+        at = np.arange(counts.sum()) + np.repeat(low - np.cumsum(counts) + counts, counts)
+        common = np.bincount(owners[at], minlength=len(rows))
+        enough = common >= (SIMILARITY - 1e-12) * (lengths + lengths[a] - common)
+        # of two outside one order is enough
+        enough &= (~outside | (ids < ids[a])) & ((sides != sides[a]) | (i == j))
+        aligner, known = None, set(every[a])
+        for b in np.flatnonzero(enough).tolist():
+            if find(c[a]) == find(c[b]) or min(known.intersection(every[b])) != bucket:
+                continue
+            aligner = aligner or Aligner(sequences[a])
+            if aligner.similarity(sequences[b]) > 0:
+                found.append((t[a], t[b]))
+                root[find(c[a])] = find(c[b])
+    return found
+
+
+def _settled(members: DataFrame, texts: DataFrame, work: Workspace) -> DataFrame:
+    """Links (a, b) that join what is linked in large buckets.  members: _bucket, _t, _c; texts: _t, _text."""
+    own = work.table(texts.join(members.select("_t").distinct(), "_t", "left_semi"))
+    dealt = work.table(blocks(members, own.select("_t", F.length("_text").alias("_n")), BLOCK_ROWS, BLOCK_CHARS, work))
+    met = dealt.withColumn("_y", F.explode(F.sequence(F.lit(0), F.col("_of") - 1)))
+    both = met.select("_bucket", F.least("_x", "_y").alias("_i"), F.greatest("_x", "_y").alias("_j"), "_t", "_c", "_x", "_all").join(own, "_t")
+
+    def run(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
+        found = _links_of_blocks(*[k.as_py() for k in key], list(zip(*[rows[n].to_pylist() for n in ("_t", "_c", "_x", "_all", "_text")], strict=True)))
+        return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
+
+    return both.groupBy("_bucket", "_i", "_j").applyInArrow(run, "a long, b long")
+
+
 def _rows(df: DataFrame, key: str, text: str, work: Workspace) -> tuple[DataFrame, DataFrame]:
     """_id, _r (a number of its own), _t and _u of each row, and the texts (_t, _text), dealt out by _t; different texts have different _t."""
     docs, texts = different(df.select(F.col(f"`{key}`").alias("_id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("_text")), "_text", work)
@@ -223,11 +265,7 @@ def classes(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
     """key, class_id, kept, and _t and _u, 64 bits each of the text: one row for each row of df, in no order."""
     with Workspace(df.sparkSession) as work:
         rows, texts = _rows(df, key, text, work)
-
-        def level(number: int):
-            return lambda members: _buckets(texts if members is None else texts.join(members, "_t", "left_semi"), number)
-
-        found = groups([level(i) for i in range(len(LEVELS))], lambda pairs: _verified(pairs, texts, work), work)
+        found = groups(_buckets(texts), lambda pairs: _verified(pairs, texts, work), lambda members: _settled(members, texts, work), work)
         least = F.struct(F.col("_id").isNull().alias("x"), F.col("_id").alias("y"), F.col("_r").alias("r"))
         of = rows.groupBy("_t").agg(F.min(least).alias("_least")).join(found.select(F.col("node").alias("_t"), F.col("component").alias("_c")), "_t", "left").withColumn("_c", F.coalesce("_c", "_t"))
         of = work.table(of)

@@ -42,6 +42,19 @@ def test_all_levels_find_the_classes_of_a_group(spark, monkeypatch):
     assert sorted(tuple(sorted(g)) for g in found.values()) == sorted(tuple(sorted(g)) for g in brute_classes(rows))
 
 
+def test_no_pair_of_a_large_bucket_is_left_out(spark, monkeypatch):
+    """All texts in one bucket, larger than SMALL and than a block: its classes are those of comparing all."""
+    monkeypatch.setattr(minhash, "BLOCK_ROWS", 16)
+    texts = [t for k in range(3) for t in near_copies(k, prose(60 + k, 120), 25, 6)]
+    rows = [row(i, t) for i, t in enumerate(dict.fromkeys(texts))]
+    with common.Workspace(spark) as work:
+        table = work.table(spark.createDataFrame([(r[0], r[1]) for r in rows], "_t long, _text string"), "_t")
+        buckets = table.select(F.explode(F.array(F.lit(1).cast("long"), F.lit(2).cast("long"))).alias("_bucket"), "_t")
+        of = grouping.groups(buckets, lambda pairs: minhash._verified(pairs, table, work), lambda members: minhash._settled(members, table, work), work)
+        found = {r["node"]: r["component"] for r in of.collect()}
+    assert sorted((min(g), i) for g in brute_classes(rows) for i in g) == sorted((found.get(i, i), i) for i in range(len(rows)))
+
+
 def test_recall_of_similar_lines(spark):
     """Pairs with an edit similarity of 0.8 and more among lines of 5 to 200 words with words changed, left out or put in, against all of them."""
     r = random.Random(4)
