@@ -3,9 +3,10 @@
 import random
 import time
 
+import numpy as np
 from pyspark.sql import functions as F
 
-from lumenscan.llm import common, grouping, html, lines, minhash
+from lumenscan.llm import common, edits, grouping, html, lines, minhash
 
 from .conftest import SCHEMA, prose, row
 from .test_dedup import brute_classes, near_copies
@@ -55,6 +56,47 @@ def test_no_pair_of_a_large_bucket_is_left_out(spark, monkeypatch):
     assert sorted((min(g), i) for g in brute_classes(rows) for i in g) == sorted((found.get(i, i), i) for i in range(len(rows)))
 
 
+def test_no_pair_of_lines_of_a_large_bucket_is_left_out(spark, monkeypatch):
+    monkeypatch.setattr(lines, "BLOCK_ROWS", 16)
+    texts = list(dict.fromkeys(t for k, n in enumerate((12, 25, 70)) for t in near_copies(k, prose(80 + k, n), 25, n // 2)))
+    assert min(map(len, texts)) < edits.BATCHED < max(map(len, texts))
+    root = list(range(len(texts)))
+    for i, a in enumerate(texts):
+        for j in range(i):
+            longer = max(len(a), len(texts[j]))
+            if edits.distance(a, texts[j], longer) <= 0.2 * longer + 1e-9:
+                low, high = sorted((root[i], root[j]))
+                root = [low if r == high else r for r in root]
+    with common.Workspace(spark) as work:
+        table = work.table(spark.createDataFrame(list(enumerate(texts)), "_t long, _line string"), "_t")
+        sizes = table.select("_t", F.length("_line").alias("_n"))
+        buckets = table.select(F.explode(F.array(F.lit(1).cast("long"), F.lit(2).cast("long"))).alias("_bucket"), "_t")
+        of = grouping.groups(buckets, lambda pairs: lines._linked(pairs, sizes, table, work), lambda members: lines._settled(members, table, work), work)
+        found = {r["node"]: r["component"] for r in of.collect()}
+    assert [found.get(i, i) for i in range(len(texts))] == root and 3 < len(set(root)) < len(texts)
+
+
+def test_no_hash_rules_out_similar_lines(spark, monkeypatch):
+    monkeypatch.setattr(lines, "DISTANCE", -1)
+    words = prose(7, 40).split()
+    df = spark.createDataFrame([(1, " ".join(words)), (2, " ".join([*words[:20], "other", *words[21:]])), (3, prose(8, 40))], "_t long, _line string")
+    assert {r["node"]: r["component"] for r in lines.fuzzy_groups(lambda: df).collect()} == {1: 1, 2: 1}
+
+
+def test_distances_of_many_lines_against_single_ones(spark):
+    r = random.Random(1)
+    texts = ["".join(r.choice("abcé\U0001f600") for _ in range(r.choice([1, 5, 63, 64, 65, 127, 128, 130, 200]))) for _ in range(25)]
+    table, symbols = edits.codes(texts)
+    lengths = [len(t) for t in texts]
+    pairs = spark.createDataFrame([(i, j, a, b) for i, a in enumerate(texts) for j, b in enumerate(texts)], "i int, j int, a string, b string")
+    expected = {(p["i"], p["j"]): p["d"] for p in pairs.selectExpr("i", "j", "levenshtein(a, b) as d").collect()}
+    for i, a in enumerate(texts):
+        for most in (40, 1000):
+            many = edits.distances(table[i, : lengths[i]], table, np.array(lengths), symbols, np.full(len(texts), most))
+            for j, b in enumerate(texts):
+                assert min(many[j], most + 1) == min(edits.distance(a, b, most), most + 1) == min(expected[i, j], most + 1)
+
+
 def test_recall_of_similar_lines(spark):
     """Pairs with an edit similarity of 0.8 and more among lines of 5 to 200 words with words changed, left out or put in, against all of them."""
     r = random.Random(4)
