@@ -76,6 +76,32 @@ def test_no_pair_of_lines_of_a_large_bucket_is_left_out(spark, monkeypatch):
     assert [found.get(i, i) for i in range(len(texts))] == root and 3 < len(set(root)) < len(texts)
 
 
+def test_large_buckets_of_lines_need_no_python(spark, capsys):
+    texts = near_copies(1, prose(90, 30), 40, 20)
+    with common.Workspace(spark) as work:
+        table = work.table(spark.createDataFrame(list(enumerate(texts)), "_t long, _line string"), "_t")
+        links = lines._settled(work.table(table.select(F.lit(1).cast("long").alias("_bucket"), "_t", F.col("_t").alias("_c"))), table, work)
+        assert links.count() > 0
+        links.explain()
+    assert "Exchange" in (plan := capsys.readouterr().out) and not any(x in plan for x in ("Arrow", "Python", "Pandas"))
+
+
+def test_lines_of_common_words_meet_near_copies_only(spark, monkeypatch):
+    """Words that very many lines hold make no bucket, and a group of near copies, all of whose words are that common, is found whole."""
+    monkeypatch.setattr(lines, "FEW_LISTS", 20)
+    monkeypatch.setattr(lines, "WORD_LISTS", (12, 5, 10))
+    met = []
+    linked = lines._linked
+    monkeypatch.setattr(lines, "_linked", lambda pairs, *rest: (met.append(pairs.count()), linked(pairs, *rest))[1])
+    texts = [f"it was of the {prose(9000 + i, 36)}" for i in range(250)]
+    found = lines.fuzzy_groups(lambda: spark.createDataFrame(list(enumerate(texts)), "_t long, _line string")).collect()
+    assert not found and sum(met) < len(texts)
+    copies = [" ".join([*(w := prose(7, 40).split())[:k], prose(100 + i, 1), *w[k + 1 :]]) for i in range(60) for k in [i % 40]]
+    rows = list(enumerate(dict.fromkeys([*copies, *texts[:40]])))
+    found = lines.fuzzy_groups(lambda: spark.createDataFrame(rows, "_t long, _line string")).collect()
+    assert {r["node"] for r in found} == {i for i, x in rows if x in copies} and {r["component"] for r in found} == {0}
+
+
 def test_no_hash_rules_out_similar_lines(spark, monkeypatch):
     monkeypatch.setattr(lines, "DISTANCE", -1)
     words = prose(7, 40).split()
