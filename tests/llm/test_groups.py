@@ -102,6 +102,26 @@ def test_lines_of_common_words_meet_near_copies_only(spark, monkeypatch):
     assert {r["node"] for r in found} == {i for i, x in rows if x in copies} and {r["component"] for r in found} == {0}
 
 
+def test_lines_that_share_a_passage_are_not_all_compared(spark, monkeypatch):
+    met = []
+    linked = lines._linked
+    monkeypatch.setattr(lines, "_linked", lambda pairs, *rest: (met.append(pairs.count()), linked(pairs, *rest))[1])
+    passage = prose(77, 14)
+    texts = [" ".join([*(w := prose(7000 + i, 20).split())[: i % 20], passage, *w[i % 20 :]]) for i in range(90)]
+    texts.append(" ".join(["other", *texts[0].split()[1:]]))
+    found = lines.fuzzy_groups(lambda: spark.createDataFrame(list(enumerate(texts)), "_t long, _line string")).collect()
+    assert {r["node"]: r["component"] for r in found} == {0: 0, 90: 0}
+    assert sum(met) < 0.2 * len(texts) ** 2 / 2
+
+
+def test_counts_of_characters_rule_no_similar_lines_out(spark):
+    r = random.Random(2)
+    texts = ["".join(r.choice("ethx é\U0001f600") for _ in range(r.choice([1, 4, 9, 20]))) for _ in range(40)]
+    pairs = spark.createDataFrame([(a, b) for a in texts for b in texts], "a string, b string")
+    judged = pairs.select(F.levenshtein("a", "b").alias("d"), lines._unlike(lines._counts(F.col("a")), lines._counts(F.col("b"))).alias("u"))
+    assert judged.where("u > 2 * d").isEmpty() and not judged.where("u > 0").isEmpty()
+
+
 def test_no_hash_rules_out_similar_lines(spark, monkeypatch):
     monkeypatch.setattr(lines, "DISTANCE", -1)
     words = prose(7, 40).split()
