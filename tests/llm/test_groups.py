@@ -114,6 +114,20 @@ def test_lines_that_share_a_passage_are_not_all_compared(spark, monkeypatch):
     assert sum(met) < 0.2 * len(texts) ** 2 / 2
 
 
+def test_tables_go_once_they_are_read(spark, monkeypatch):
+    """While lines are grouped no copy of the places' lines and no list of features is left, and afterwards no text of a pair."""
+    live = []
+
+    def look() -> None:
+        live.extend(set(spark.table(f"{d.name}.{t.name}").columns) for d in spark.catalog.listDatabases() if d.name.startswith("lumenscan_") for t in spark.catalog.listTables(d.name))
+
+    groups = lines.groups
+    monkeypatch.setattr(lines, "groups", lambda *of: (look(), groups(*of), look())[1])
+    df = spark.createDataFrame([row(i, t) for i, t in enumerate(near_copies(5, prose(3, 40), 12, 4))], SCHEMA)
+    assert sum(r["n_removed"] for r in lines.dedup(df).collect()) == 11
+    assert live and not [c for c in live if c & {"_least", "_ma", "_la"} or c >= {"_p", "_line"}]
+
+
 def test_counts_of_characters_rule_no_similar_lines_out(spark):
     r = random.Random(2)
     texts = ["".join(r.choice("ethx é\U0001f600") for _ in range(r.choice([1, 4, 9, 20]))) for _ in range(40)]
